@@ -13,7 +13,56 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(docs, 0.75).select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+def _pieces(spark: SparkSession, d: str, keep_text: bool) -> DataFrame:
+    from skerry.llm.splitting import split_documents
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "doc_type")
+    return split_documents(docs, table(spark, d, "chunk_limits"), keep_text)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, False).where("piece = 1").select("doc_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, True)
+
+
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.packing import pack
+
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_windows"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.packing import fill_report
+
+    return fill_report(p6_windows(spark, d))
+
+
+def _mix(spark: SparkSession, d: str):
+    from skerry.llm.mixing import mix
+
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_windows": p6_windows,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
 
 ORACLE = {
     "p1_found": """WITH m AS (SELECT DISTINCT id, subject_entity_id AS s,
@@ -28,4 +77,7 @@ c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM r a JOIN r b ON a.tok = b.tok AN
  WHERE a.s = b.s OR a.s IS NULL OR b.s IS NULL),
 l AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c JOIN m a ON a.id = x JOIN m b ON b.id = y)
 SELECT x AS memory_id_a, y AS memory_id_b FROM l WHERE 4 * i >= 3 * (n - i)""",
+    "p4_found": """WITH l AS (SELECT lower(trim(doc_type)) AS k, max_tokens FROM chunk_limits)
+SELECT DISTINCT doc_id FROM documents d LEFT JOIN l ON l.k = lower(trim(d.doc_type))
+WHERE ceil(octet_length(encode(d.text)) / 4.0) > coalesce(l.max_tokens, (SELECT max_tokens FROM l WHERE k = 'default'))""",
 }
