@@ -54,6 +54,32 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from skerry.llm.language import segments
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return docs, segments(docs)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.language import label_language
+
+    docs, segs = _segments(spark, d)
+    runs = segs.where("sentences >= 2").select("doc_id", "lang").distinct()
+    labels = docs.select("doc_id", label_language(F.col("lang")).alias("label"))
+    return runs.join(labels, "doc_id").where("label IS DISTINCT FROM lang").select("doc_id", "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)[1]
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.language import document_languages
+
+    return document_languages(_segments(spark, d)[1])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
@@ -62,6 +88,9 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+    "p8_documents": p8_documents,
 }
 
 ORACLE = {
