@@ -28,6 +28,29 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda t, c: table(spark, d, t).select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), F.col(c).alias("text"))
+    return part("mem_sources", "excerpt").unionByName(part("mem_memories", "content"))
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.personal import find
+
+    forms = table(spark, d, "name_forms").where("form_kind = 'given'")
+    given = forms.select(F.col("short_form").alias("name")).union(forms.select("full_form"))
+    return find(_texts(spark, d), given)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("table_name", "row_id", "kind", "matched").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.personal import redact
+
+    return redact(_texts(spark, d).distinct(), _personal(spark, d)).select("table_name", "row_id", "text")
+
+
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     from skerry.llm.packing import pack
 
@@ -84,6 +107,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_windows": p6_windows,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
