@@ -13,6 +13,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(docs, 0.75).select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.names import link
+
+    return link(table(spark, d, "mem_entities"), table(spark, d, "name_forms"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.llm.names import pairs_of
+
+    return pairs_of(_clusters(spark, d)).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each linked row with the least id of its person or organisation and that one's number of rows."""
+    c = _clusters(spark, d)
+    size = c.groupBy("cluster", "etype").agg(F.min("id").alias("entity_id"), F.count("*").alias("n_rows"))
+    return c.join(size, ["cluster", "etype"]).select(F.col("id").alias("row_id"), "entity_id", "n_rows")
+
+
 def _pieces(spark: SparkSession, d: str, keep_text: bool) -> DataFrame:
     from skerry.llm.splitting import split_documents
 
@@ -105,6 +124,8 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
