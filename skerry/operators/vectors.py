@@ -64,7 +64,7 @@ def similar_vectors(vectors: DataFrame, threshold: float, block: int = BLOCK) ->
     spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("blk"), o.cast("int")).alias("lo"), F.greatest(F.col("blk"), o.cast("int")).alias("hi")))
     dealt = own.select("vec_id", "embedding", "blk", F.explode(spots).alias("s")).select("vec_id", "embedding", "blk", "s.lo", "s.hi")
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lo, hi = (k.as_py() for k in key)
         ids, blk = table.column("vec_id").to_numpy(), table.column("blk").to_numpy()
         m = _matrix(table.column("embedding").combine_chunks())
