@@ -20,7 +20,7 @@ def mark_fold(spark, d):
     e = table(spark, d, "events").where("event_type IN ('error', 'view', 'purchase', 'signup')")
     status = F.when(F.col("event_type") == "error", "retracted").when(F.col("event_type") == "view", "superseded").otherwise("active")
     f = O.mark_fold(e.select((F.col("user_id") % 500).alias("id"), "ts", F.col("event_id").alias("seq"), status.alias("status")))
-    return f.select("id", "status", "retired_at", F.size("intervals").alias("n_intervals"), F.element_at("intervals", -1)["retired_at"].alias("last_gap") if False else F.try_element_at("intervals", F.lit(-1))["retired_at"].alias("last_gap"))
+    return f.select("id", "status", "retired_at", F.size("intervals").alias("n_intervals"), F.try_element_at("intervals", F.lit(-1))["retired_at"].alias("last_gap"))
 
 
 def review_dedupe(spark, d):
@@ -39,7 +39,7 @@ def entity_upsert(spark, d):
 def retired_backfill(spark, d):
     """When belief ended, for rows that are no longer active but do not say so: replacement, event end, named successor, last update."""
     m = V.memories(spark, d)
-    lost = m.where("status <> 'active' AND retired_at IS NULL")
+    lost = m.withColumn("retired_at", F.when(F.col("id") % 2 == 0, F.col("retired_at"))).where("status <> 'active' AND retired_at IS NULL")
     s = m.select(F.col("supersedes_id").alias("id"), F.col("created_at").alias("at")).where("id IS NOT NULL")
     first = lost.select("id", "created_at").join(s, "id").where("at >= created_at").groupBy("id").agg(F.min("at").alias("replaced"))
     by = F.get_json_object("metadata", "$.superseded_by")
@@ -63,10 +63,13 @@ def derivation_backfill(spark, d):
 
 def write_rejects(spark, d):
     """Rows a write would refuse, with the first reason."""
-    m = V.memories(spark, d)
+    # some rows are spoilt first, so that every reason has cases
+    m = V.memories(spark, d).withColumns({
+        "valid_to": F.when(F.col("id") % 40 == 0, F.col("valid_from") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("valid_to")), "content": F.when(F.col("id") % 90 == 0, F.lit("  ")).otherwise(F.col("content")),
+        "confidence": F.when(F.col("id") % 70 == 0, F.lit(1.5)).otherwise(F.col("confidence")), "project": F.when(F.col("id") % 60 != 0, F.col("project"))})
     why = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty content").when(F.col("valid_to") < F.col("valid_from"), "window ends before it starts").when((F.col("scope") == "project") & F.col("project").isNull(), "project scope without a project").when(
-        (F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence out of range").when(F.get_json_object(F.coalesce("metadata", F.lit("{}")), "$").isNull(), "broken metadata")
-    return m.select("id", why.alias("reason")).where("reason IS NOT NULL AND reason <> 'broken metadata'")
+        (F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence out of range")
+    return m.select("id", why.alias("reason")).where("reason IS NOT NULL")
 
 
 def scope_default(spark, d):
@@ -76,7 +79,6 @@ def scope_default(spark, d):
 def perspective_sync(spark, d):
     """Missing ends of a perspective: the observer is the author's own peer, the observed the subject, else the observer."""
     m = V.memories(spark, d)
-    own = F.try_element_at(F.split("author", "u"), F.lit(2)).try_cast("long") if hasattr(F.col("x"), "try_cast") else F.expr("try_cast(substring(author, 2, 9) AS BIGINT)")
     gone = m.select("id", F.when(F.col("id") % 4 != 0, F.col("observer_entity_id")).alias("obs"), F.when(F.col("id") % 6 != 0, F.col("observed_entity_id")).alias("obd"), "subject_entity_id", F.expr("try_cast(substring(author, 2, 9) AS BIGINT)").alias("self"))
     obs = F.coalesce("obs", "self")
     return gone.select("id", obs.alias("observer_entity_id"), F.coalesce("obd", "subject_entity_id", obs).alias("observed_entity_id"))
@@ -155,11 +157,12 @@ SELECT id, max_by(status, (ts, event_id)) AS status, CASE WHEN NOT max_by(on_, (
     "review_dedupe": f"WITH {M} SELECT md5(lower(trim(content, ' '))) AS key, min(id) AS id, count(*) AS n FROM m WHERE reasoning_level IN ('deductive', 'inductive') GROUP BY 1",
     "entity_upsert": """SELECT namespace, entity_type, name, min(id) AS id, coalesce(list_sort(list(DISTINCT alias) FILTER (WHERE alias <> '')), []) AS aliases FROM (
 SELECT namespace, entity_type, lower(trim(canonical_name, ' ')) AS name, id, trim(unnest(CASE WHEN aliases IS NULL OR len(aliases) = 0 THEN [NULL] ELSE aliases END), ' ') AS alias FROM mem_entities) GROUP BY 1, 2, 3""",
-    "retired_backfill": f"""WITH {M}, l AS (SELECT * FROM m WHERE status <> 'active' AND retired_at IS NULL)
+    "retired_backfill": f"""WITH {M}, l AS (SELECT * FROM m WHERE status <> 'active' AND (retired_at IS NULL OR id % 2 <> 0))
 SELECT id, greatest(created_at, coalesce((SELECT min(s.created_at) FROM m s WHERE s.supersedes_id = l.id AND s.created_at >= l.created_at), CASE WHEN valid_to >= created_at AND valid_to <= TIMESTAMP '{NOW}' THEN valid_to END, greatest(updated_at, created_at))) AS retired_at FROM l""",
     "derivation_backfill": f"""WITH {M} SELECT a.id AS derived, b.id AS evidence, 'supersedes' AS relation FROM m a JOIN m b ON b.id = a.supersedes_id AND b.author = a.author AND a.id <> b.id
 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.derived = a.id AND e.evidence = b.id AND e.relation = 'supersedes')""",
-    "write_rejects": f"""WITH {M}, r AS (SELECT id, CASE WHEN trim(coalesce(content, ''), ' ') = '' THEN 'empty content' WHEN valid_to < valid_from THEN 'window ends before it starts' WHEN scope = 'project' AND project IS NULL THEN 'project scope without a project' WHEN confidence < 0 OR confidence > 1 THEN 'confidence out of range' END AS reason FROM m) SELECT * FROM r WHERE reason IS NOT NULL""",
+    "write_rejects": f"""WITH {M}, b AS (SELECT id, scope, CASE WHEN id % 90 = 0 THEN '  ' ELSE content END AS content, CASE WHEN id % 40 = 0 THEN valid_from - INTERVAL 1 DAY ELSE valid_to END AS valid_to, valid_from, CASE WHEN id % 70 = 0 THEN 1.5 ELSE confidence END AS confidence, CASE WHEN id % 60 <> 0 THEN project END AS project FROM m),
+r AS (SELECT id, CASE WHEN trim(coalesce(content, ''), ' ') = '' THEN 'empty content' WHEN valid_to < valid_from THEN 'window ends before it starts' WHEN scope = 'project' AND project IS NULL THEN 'project scope without a project' WHEN confidence < 0 OR confidence > 1 THEN 'confidence out of range' END AS reason FROM b) SELECT * FROM r WHERE reason IS NOT NULL""",
     "scope_default": f"WITH {M} SELECT scope, CASE WHEN project IS NULL OR memory_type = 'preference' THEN 'private' ELSE 'project' END AS would_be, count(*) AS n FROM m GROUP BY 1, 2",
     "perspective_sync": f"""WITH {M}, g AS (SELECT id, CASE WHEN id % 4 <> 0 THEN observer_entity_id END AS o, CASE WHEN id % 6 <> 0 THEN observed_entity_id END AS d, subject_entity_id AS s, try_cast(substr(author, 2, 9) AS BIGINT) AS me FROM m)
 SELECT id, coalesce(o, me) AS observer_entity_id, coalesce(d, s, o, me) AS observed_entity_id FROM g""",
