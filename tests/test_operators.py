@@ -1,0 +1,102 @@
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from skerry.functions import globs as G
+from skerry.functions import text as X
+from skerry.operators import chunking as K
+from skerry.operators import evidence as E
+from skerry.operators import oplog as O
+from skerry.operators.cliques import maximal_cliques
+from skerry.operators.components import connected_components
+from skerry.operators.vectors import similar_vectors
+
+
+@pytest.mark.parametrize(
+    "glob,path,hit",
+    [
+        ("src/**/*.py", "src/main.py", True), ("src/**/*.py", "src/a/b/main.py", True), ("src/*.py", "src/a/main.py", False), ("src/?.py", "src/a.py", True), ("src/?.py", "src/.py", False),
+        ("**", "any/thing", True), ("**/x", "x", True), ("docs/**", "docs/a/b", True), ("a.b", "axb", False), ("a+(b)", "a+(b)", True), ("docs/**", "docsx/a", False), ("*", "a/b", False),
+    ],
+)
+def test_globs(spark, glob, path, hit):
+    df = spark.createDataFrame([(glob, path)], "g string, p string")
+    assert df.select(F.rlike("p", G.glob_regex(F.col("g")))).first()[0] is hit
+
+
+def test_query_words(spark):
+    one = lambda q: spark.createDataFrame([(q,)], "q string").select(X.lexical_query(F.col("q"))).first()[0]
+    assert one("the search.py of -flag on docs/plan/on.md") == ["search.py", "flag", "docs/plan/on.md"]
+    assert one("the of и") == [] and one(None) == [] and one("поиск --х") == ["поиск"]
+
+
+def test_scrub(spark):
+    one = lambda t: spark.createDataFrame([(t,)], "t string").select(X.scrub(F.col("t"))).first()[0]
+    assert one("see https://bob:pw@host/x") == "see https://bob:[REDACTED:url-password]@host/x"
+    assert one("password = 'correct horse'") == "password = '[REDACTED:credential]'"
+    assert "[REDACTED:github-token]" in one("ghp_" + "a" * 36) and one("max_tokens: 12") == "max_tokens: 12" and one(None) is None
+
+
+def test_private_spans(spark):
+    one = lambda t: spark.createDataFrame([(t,)], "t string").select(K.strip_spans(F.col("t"))).first()[0]
+    assert one("a<private>b<private>c</private>d</private>e") == "ae"
+    assert one("a</private>b") == "ab" and one("a<private>b") == "a" and one("") == ""
+
+
+def test_markdown_chunks():
+    text = "intro\n# A\nx\n```\n# not a heading\n```\n## B\ny\n# C\nz"
+    assert K.chunk_markdown(text) == [("", "intro"), ("A", "# A\nx\n```\n# not a heading\n```"), ("A > B", "## B\ny"), ("C", "# C\nz")]
+    for body in ("x" * 200_000, "слово " * 9000, "\n".join("row %d | a | b" % i for i in range(4000)), "para one\n\n" * 900):
+        got = K.chunk_markdown(body)
+        assert max(K.token_estimate(c) for _, c in got) <= K.HARD
+        assert "".join("".join(c for _, c in got).split()) == "".join(body.split())
+
+
+def test_mark_fold(spark):
+    t0 = datetime(2024, 1, 1)
+    ops = [(1, 0, "retracted"), (1, 1, "superseded"), (1, 5, "active"), (1, 6, "expired"), (2, 0, "active"), (3, 2, "retracted"), (3, 2, "active")]
+    df = spark.createDataFrame([(i, t0 + timedelta(days=d), n, s) for n, (i, d, s) in enumerate(ops)], "id long, ts timestamp_ntz, seq long, status string")
+    got = {r.id: r for r in O.mark_fold(df).collect()}
+    assert (got[1].status, got[1].retired_at) == ("expired", t0 + timedelta(days=6))
+    assert [(x.retired_at, x.reactivated_at) for x in got[1].intervals] == [(t0, t0 + timedelta(days=5))]
+    assert (got[2].retired_at, got[2].intervals) == (None, []) and (got[3].retired_at, got[3].intervals) == (None, [])
+
+
+def test_components_and_cliques(spark):
+    e = [(1, 2), (2, 3), (1, 3), (3, 4), (7, 8), (8, 7), (9, 9), (None, 1)] + [(a, b) for a in range(20, 27) for b in range(a + 1, 27)]
+    edges = spark.createDataFrame(e, "a long, b long")
+    v = spark.createDataFrame([(i,) for i in [1, 2, 3, 4, 7, 8, 9, *range(20, 27)]], "v long")
+    got = {r.v: r.component for r in connected_components(v, edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 9, **{i: 20 for i in range(20, 27)}}
+    c = {tuple(r.members) for r in maximal_cliques(edges.where("a IS NOT NULL"), 6).collect()}
+    assert c == {(1, 2, 3), (3, 4), (7, 8)}  # the clique of seven is too large
+
+
+def test_long_chain_settles(spark):
+    n = 300
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+    got = connected_components(spark.range(n + 1).toDF("v"), e)
+    assert {r.component for r in got.collect()} == {0}
+
+
+def test_cycles(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 1), (6, 7)], "src long, dst long")
+    assert {r.node for r in E.cyclic_nodes(e).collect()} == {1, 2, 3, 4}
+    d = spark.createDataFrame([(1, 2, "supports"), (2, 3, "supports")], "evidence long, derived long, relation string")
+    new = spark.createDataFrame([(3, 1), (1, 3), (4, 4)], "evidence long, derived long")
+    assert {(r.evidence, r.derived): r.closes for r in E.would_cycle(d, new).collect()} == {(3, 1): True, (1, 3): False, (4, 4): True}
+
+
+def test_similar_vectors_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if round(1 - u[i] @ u[j], 9) < 0.5}
+    for block in (7, 1000):
+        assert {(r.a, r.b) for r in similar_vectors(df, 0.5, block).collect()} == want
