@@ -10,8 +10,8 @@ above the cost bound the prefix is lengthened by one and two common words are re
 the key is the pair or triple, in prefix order, so nothing is lost and nothing is enumerated under a
 frequent word. Whether a key is extended depends on the key alone, so both documents decide alike.
 
-All estimates come from sketches of 2^20 counters (their size does not depend on the data; they are
-the only thing that reaches the driver). A collision in a sketch only moves a word in the order or
+All estimates come from sketches of 2^22 (words) and 2^20 counters (keys); their size does not depend on the data, and they
+are the only thing that reaches the driver. A word whose counter says it stands in one document only is in no posting. A collision in a sketch only moves a word in the order or
 extends a key early, never changes a result.
 """
 
@@ -26,15 +26,21 @@ from pyspark.sql import functions as F
 
 from skerry.sources.durable import durable
 
-BITS = 20
-SIZE = 1 << BITS
+BITS, DF_BITS = 20, 22
+SIZE, DF_SIZE = 1 << BITS, 1 << DF_BITS
 MIN_COST = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_list(text: Column) -> Column:
     """Distinct longest runs of letters and digits of the lower-cased text; null text has none."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
+
+
+def word_hashes(text: Column) -> Column:
+    """The same words as 64-bit hashes."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
@@ -59,12 +65,31 @@ def _ordered(batch: pa.RecordBatch, df: np.ndarray):
     off = off - off[0]
     n = np.diff(off)
     row = np.repeat(np.arange(len(n)), n)
-    cost = df[h & (SIZE - 1)]
+    cost = df[h & (DF_SIZE - 1)]
     order = np.lexsort((h, cost, row))
     h, cost = h[order], cost[order]
     return h, row, np.arange(len(h)) - off[row], n, cost
 
 
+def _set_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """A hash of each row's set of words, whatever their order."""
+    arr = batch.column(batch.schema.get_field_index("h"))
+    off = arr.offsets.to_numpy().astype(np.int64)
+    h = arr.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64).view(np.uint64)
+    x = (h ^ (h >> np.uint64(31))) * _MIX
+    x = np.concatenate([[np.uint64(0)], np.cumsum(x ^ (x >> np.uint64(27)), dtype=np.uint64)])
+    off = off - off[0]
+    return (x[off[1:]] - x[off[:-1]]).view(np.int64)
+
+
+def _bitmap(batch: pa.RecordBatch) -> np.ndarray:
+    """64 bits for each row, one set by every word. Two sets differ in at least as many words as their bitmaps in bits."""
+    arr = batch.column(batch.schema.get_field_index("h"))
+    off = arr.offsets.to_numpy().astype(np.int64)
+    h = arr.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64).view(np.uint64)
+    return np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(DF_BITS)) & np.uint64(63)), off[:-1] - off[0]).view(np.int64)
+
+
 def _extend(at: np.ndarray, key: np.ndarray, first: np.ndarray, h, row, pos, limit):
     """Every key together with every later word of its row below the row's limit."""
     room = np.maximum(limit[row[at]] - 1 - pos[at], 0)
@@ -109,16 +134,27 @@ def _index_sketch(df, bound, depth, t):
 
 
 def _postings(df_b, sketch_b, bound, depth, t):
-    """Prefix postings (key, doc, subject, size, pos, indexed)."""
+    """Prefix postings (key, doc, subject, meta, bits): meta holds the size, the place of the first prefix word and whether
+    the key is indexed; bits has a bit for each word, so that sets which differ too much are told apart unseen. Of copies with one subject in a batch
+    only the least doc is kept, so that a group of copies that holds a third of all rows shrinks before the shuffle."""
 
     def run(batches):
         df, sketch = df_b.value, sketch_b.value
         for b in batches:
             if not b.num_rows:
                 continue
+            doc, subject = (b.column(b.schema.get_field_index(c)) for c in ("doc", "subject"))
+            words = _set_hashes(b)
+            order = np.lexsort((doc.to_numpy(), subject.fill_null(0).to_numpy(), subject.is_null().to_numpy(zero_copy_only=False), words))
+            same = np.zeros(len(order), bool)
+            w, u, z = words[order], subject.fill_null(0).to_numpy()[order], subject.is_null().to_numpy(zero_copy_only=False)[order]
+            same[1:] = (w[1:] == w[:-1]) & (u[1:] == u[:-1]) & (z[1:] == z[:-1])
+            keep = np.sort(order[~same])
+            b = b.take(pa.array(keep))
+            bits = _bitmap(b)
             h, row, pos, n, cost = _ordered(b, df)
             probe, index = _probe(n, t), _index(n, t)
-            at = np.flatnonzero(pos < (probe + 1)[row])
+            at = np.flatnonzero((pos < (probe + 1)[row]) & (cost > 1))
             key, first = _join_key(h[at] * 0, h[at]), pos[at]
             out = []
             for level in range(depth):
@@ -141,8 +177,8 @@ def _postings(df_b, sketch_b, bound, depth, t):
             key, r, first, idx = (np.concatenate(x) for x in zip(*out))
             col = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(r))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), col("doc"), col("subject"), pa.array(n[r].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(idx)],
-                names=["key", "doc", "subject", "size", "pos", "indexed"],
+                [pa.array(key), col("doc"), col("subject"), pa.array((n[r] << 32 | first << 1 | idx).astype(np.int64)), pa.array(bits[r])],
+                names=["key", "doc", "subject", "meta", "bits"],
             )
 
     return run
@@ -156,79 +192,100 @@ def _collect_sketch(counts: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
+def _id_filter(ids: DataFrame):
+    """A column condition on a doc column that holds for all the given ids: a bitmap of 2^20 hashed ids, whatever their number."""
+    cells = ids.select(F.col("id").cast("long").alias("id")).select(F.xxhash64("id").bitwiseAND(SIZE - 1).alias("bucket")).distinct()
+    bits = np.zeros(SIZE, bool)
+    bits[cells.toArrow().column("bucket").to_numpy()] = True
+    masks = np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+    def holds(col: Column) -> Column:
+        at = F.xxhash64(col).bitwiseAND(SIZE - 1)
+        mask = F.element_at(F.lit(masks), (F.shiftright(at, 6) + 1).cast("int"))
+        return F.getbit(mask, at.bitwiseAND(63).cast("int")) == 1
+
+    return holds
+
+
 def similar_classes(docs: DataFrame, threshold: float = 0.75):
     """docs (doc long, subject long or null, text string) -> (members, pairs).
 
-    members (doc, class, subject): documents of one subject with equal word sets share a class, named by
-    its least doc. pairs (class_a, class_b), class_a < class_b: classes whose subjects agree or
-    are null on a side and whose word sets differ but reach the threshold. Copies are never expanded."""
+    members (doc, class, subject, s1, s2): only documents that share their word set with another one; those of one
+    subject share a class, named by its least doc. pairs (class_a, class_b), class_a < class_b: classes whose subjects
+    agree or are null on a side and whose word sets differ but reach the threshold. A document that is no
+    member is a class of its own. Copies are never expanded."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    hashed = docs.select("doc", "subject", F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    ordered = F.array_sort("h")
-    members = hashed.select(
-        "doc", "subject", F.size("h").alias("size"), F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2")
-    )
-    reps = members.groupBy("subject", "s1", "s2").agg(F.min("doc").alias("class"))
-    least = durable(reps, "classes")
-
-    words = hashed.where(F.size("h") > 0)
-    bucket = F.col("w").bitwiseAND(SIZE - 1)
-    counts = words.select(F.explode("h").alias("w")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    df = _collect_sketch(counts, SIZE)
-    bound = max(MIN_COST, 4 * int(df.sum()) // SIZE)
+    hashed = docs.select("doc", "subject", word_hashes(F.col("text")).alias("w")).where(F.size("w") > 0)
+    ordered = F.sort_array("w")
+    # words are cut into 32 bits here, for the prefixes only: equal words stay equal, so no pair is lost, and what is
+    # written is a fraction of the texts. Likeness is computed on the texts' own words in the end.
+    short = F.transform("w", lambda w: F.shiftright(w, 32).cast("int"))
+    hashed = durable(hashed.select("doc", "subject", F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2"), short.alias("h")), "words")
+    sets = hashed.select("doc", "subject", "s1", "s2")
+    shared = sets.groupBy("s1", "s2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("s1", "s2")
+    copies = durable(sets.join(shared, ["s1", "s2"], "left_semi").distinct(), "copies")
+    classes = copies.groupBy("s1", "s2", "subject").agg(F.min("doc").alias("class"))
+    c = classes.select("class", *(F.col(x).alias(x + "_") for x in ("subject", "s1", "s2")))
+    same_class = (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")) & F.col("subject").eqNullSafe(F.col("subject_"))
+    members = durable(copies.join(c, same_class).select("doc", "class", "subject", "s1", "s2"), "members")
+
+    bucket = F.col("w").bitwiseAND(DF_SIZE - 1)
+    counts = hashed.select(F.explode("h").alias("w")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    df = _collect_sketch(counts, DF_SIZE)
+    bound = max(MIN_COST, 4 * int(df.sum()) // DF_SIZE)
     depth = max(1, min(3, math.ceil(threshold / (1 - threshold) - 1e-9))) if threshold < 1 else 1
     df_b = sc.broadcast(df.astype(np.int32))
 
     def sketching(batches):
         yield from _index_sketch(df_b.value, bound, depth, threshold)(batches)
 
-    partial = words.select("h").mapInArrow(sketching, "bucket long, n long")
+    partial = hashed.select("h").mapInArrow(sketching, "bucket long, n long")
     cells = _collect_sketch(partial.groupBy("bucket").agg(F.sum("n").alias("n")), depth * SIZE).reshape(depth, SIZE)
     sketch_b = sc.broadcast(cells.astype(np.int32))
 
-    chosen = docs.join(least.select(F.col("class").alias("doc")), "doc", "left_semi")
-    chosen = chosen.select("doc", "subject", F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    schema = "key long, doc long, subject long, size int, pos int, indexed boolean"
-    posts = chosen.where(F.size("h") > 0).mapInArrow(_postings(df_b, sketch_b, bound, depth, threshold), schema)
-    a = posts.select("key", F.col("doc").alias("a"), F.col("subject").alias("sa"), F.col("size").alias("na"), F.col("pos").alias("pa"))
-    b = posts.where("indexed").select(
-        F.col("key").alias("kb"), F.col("doc").alias("b"), F.col("subject").alias("sb"), F.col("size").alias("nb"), F.col("pos").alias("pb")
+    posts = hashed.select("doc", "subject", "h").mapInArrow(_postings(df_b, sketch_b, bound, depth, threshold), "key long, doc long, subject long, meta long, bits long")
+    a = posts.select("key", F.col("doc").alias("a"), F.col("subject").alias("sa"), F.col("meta").alias("ma"), F.col("bits").alias("va"))
+    b = posts.where(F.col("meta").bitwiseAND(1) == 1).select(
+        F.col("key").alias("kb"), F.col("doc").alias("b"), F.col("subject").alias("sb"), F.col("meta").alias("mb"), F.col("bits").alias("vb")
     )
-    need = (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9
+    na, pa_ = F.shiftright("ma", 32), F.shiftright("ma", 1).bitwiseAND((1 << 31) - 1)
+    nb, pb_ = F.shiftright("mb", 32), F.shiftright("mb", 1).bitwiseAND((1 << 31) - 1)
     meet = (
-        (a.key == b.kb)
-        & ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-        & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+        (F.col("key") == F.col("kb"))
+        & ((nb < na) | ((nb == na) & (F.col("b") < F.col("a"))))
+        & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= (na + nb) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
         & (F.col("sa").isNull() | F.col("sb").isNull() | (F.col("sa") == F.col("sb")))
+        & (nb >= na * threshold - 1e-9)
+        & (F.least(na - pa_, nb - pb_) >= (na + nb) * F.lit(threshold / (1 + threshold)) - 1e-9)
     )
-    cand = a.join(b, meet).select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b")).distinct()
-    left = docs.select(F.col("doc").alias("class_a"), F.col("text").alias("ta"))
-    right = docs.select(F.col("doc").alias("class_b"), F.col("text").alias("tb"))
-    wa, wb = word_list(F.col("ta")), word_list(F.col("tb"))
-    both = F.size(F.array_intersect(wa, wb))
-    near = cand.join(left, "class_a").join(right, "class_b")
-    near = near.withColumn("i", both).withColumn("u", F.size(wa) + F.size(wb) - F.col("i"))
-    pairs = near.where(F.col("i") >= F.col("u") * threshold - 1e-9).select("class_a", "class_b").distinct()
-    member = members.join(least.select(*(F.col(c).alias(c + "_") for c in ("subject", "s1", "s2")), "class"),
-        F.col("s1").eqNullSafe(F.col("s1_")) & F.col("s2").eqNullSafe(F.col("s2_")) & F.col("subject").eqNullSafe(F.col("subject_")))
-    return member.select("doc", "class", "subject", "size", "s1", "s2").distinct(), pairs
+    found = a.join(b, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cand = durable(found, "candidates")
+    wanted = _id_filter(cand.select(F.col("a").alias("id")).union(cand.select("b")))
+    held = docs.where(wanted(F.col("doc"))).select("doc", word_hashes(F.col("text")).alias("w"))
+    left, right = held.select(F.col("doc").alias("a"), F.col("w").alias("wa")), held.select(F.col("doc").alias("b"), F.col("w").alias("wb"))
+    near = cand.join(left, "a").join(right, "b")
+    near = near.withColumn("i", F.size(F.array_intersect("wa", "wb"))).withColumn("u", F.size("wa") + F.size("wb") - F.col("i"))
+    close = near.where(F.col("i") >= F.col("u") * threshold - 1e-9).select("a", "b").distinct()
+    # copies that met in different batches stand for their class
+    name = members.select("doc", "class")
+    close = close.join(name.select(F.col("doc").alias("a"), F.col("class").alias("ca")), "a", "left").join(name.select(F.col("doc").alias("b"), F.col("class").alias("cb")), "b", "left")
+    ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    pairs = close.select(F.least(ca, cb).alias("class_a"), F.greatest(ca, cb).alias("class_b")).where("class_a <> class_b").distinct()
+    return members, durable(pairs, "pairs")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """All pairs (a, b), a < b, of different documents whose subjects agree or are null on a side
     and whose word sets are alike to the threshold or more. Rows with a null doc are no documents; repeated
-    rows count once; texts without words are like no other."""
+    rows count once; texts without words are like no other. Words are compared as 64-bit hashes."""
     docs = docs.where("doc IS NOT NULL")
-    member, pairs = similar_classes(docs, threshold)
-    member = durable(member.where("size > 0"), "members")
-    pairs = durable(pairs, "pairs")
-    ma = member.select(F.col("class").alias("class_a"), F.col("doc").alias("x"))
-    mb = member.select(F.col("class").alias("class_b"), F.col("doc").alias("y"))
-    across = pairs.join(ma, "class_a").join(mb, "class_b").select("x", "y")
-    m1 = member.select(F.col("doc").alias("x"), F.col("subject").alias("sx"), "s1", "s2")
-    m2 = member.select(F.col("doc").alias("y"), F.col("subject").alias("sy"), F.col("s1").alias("z1"), F.col("s2").alias("z2"))
+    members, pairs = similar_classes(docs, threshold)
+    x = members.select(F.col("class").alias("class_a"), F.col("doc").alias("x"))
+    y = members.select(F.col("class").alias("class_b"), F.col("doc").alias("y"))
+    across = pairs.join(x, "class_a", "left").join(y, "class_b", "left").select(F.coalesce("x", "class_a").alias("x"), F.coalesce("y", "class_b").alias("y"))
+    m1 = members.select(F.col("doc").alias("x"), F.col("subject").alias("sx"), "s1", "s2")
+    m2 = members.select(F.col("doc").alias("y"), F.col("subject").alias("sy"), F.col("s1").alias("z1"), F.col("s2").alias("z2"))
     same = m1.join(m2, (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")) & (F.col("x") < F.col("y"))
                    & (F.col("sx").isNull() | F.col("sy").isNull() | (F.col("sx") == F.col("sy")))).select("x", "y")
-    return across.unionByName(same).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return across.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
