@@ -91,7 +91,7 @@ def _bitmap(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _extend(at: np.ndarray, key: np.ndarray, first: np.ndarray, h, row, pos, limit):
-    """Every key together with every later word of its row below the row's limit."""
+    """Every key together with every later word of its row below the row's limit, which is at most its number of words."""
     room = np.maximum(limit[row[at]] - 1 - pos[at], 0)
     src = np.repeat(np.arange(len(at)), room)
     step = np.arange(len(src)) - np.repeat(np.cumsum(room) - room, room) + 1
@@ -122,7 +122,7 @@ def _index_sketch(df, bound, depth, t):
             key, first = _join_key(h[at] * 0, h[at]), pos[at]
             total[0] += np.bincount(_bucket(key), minlength=SIZE)
             for level in range(1, depth):
-                at, key, first = _extend(at, key, first, h, row, pos, lim + level + 1)
+                at, key, first = _extend(at, key, first, h, row, pos, np.minimum(lim + level + 1, n))
                 total[level] += np.bincount(_bucket(key), minlength=SIZE)
         for level in range(depth):
             at = np.flatnonzero(total[level])
@@ -173,7 +173,7 @@ def _postings(df_b, sketch_b, bound, depth, t):
                 at, key, first = at[dear], key[dear], first[dear]
                 if not len(at):
                     break
-                at, key, first = _extend(at, key, first, h, row, pos, probe + level + 2)
+                at, key, first = _extend(at, key, first, h, row, pos, np.minimum(probe + level + 2, n))
             key, r, first, idx = (np.concatenate(x) for x in zip(*out))
             col = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(r))
             yield pa.RecordBatch.from_arrays(

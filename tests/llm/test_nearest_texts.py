@@ -42,7 +42,7 @@ def corpus(seed, n, vocab):
 def test_equals_brute_force(spark, monkeypatch, threshold, cost, vocab):
     """With a cost bound of one nearly every key is extended to two and three words."""
     monkeypatch.setattr(N, "MIN_COST", cost)
-    rows = corpus(cost + vocab, 150, vocab)
+    rows = corpus(cost + vocab, 120, vocab)
     df = spark.createDataFrame(rows, "doc long, subject long, text string")
     got = [(r.a, r.b) for r in N.similar_pairs(df, threshold).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
