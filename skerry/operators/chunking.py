@@ -14,12 +14,20 @@ _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[^\W\d_\u0000-ɏ]")
 
 
-def token_estimate(text: str) -> int:
-    if not text:
+def _counts(text: str) -> tuple[int, int, int]:
+    """(characters, letters, letters of other scripts than Latin)."""
+    return len(text), len(_LETTER.findall(text)), 0 if text.isascii() else len(_OTHER.findall(text))
+
+
+def _estimate(n: int, letters: int, other: int) -> int:
+    if not n:
         return 0
-    letters = len(_LETTER.findall(text))
-    ratio = len(_OTHER.findall(text)) / letters if letters else 0.0
-    return max(1, int(len(text) / (2.0 * ratio + 4.0 * (1 - ratio))))
+    ratio = other / letters if letters else 0.0
+    return max(1, int(n / (2.0 * ratio + 4.0 * (1 - ratio))))
+
+
+def token_estimate(text: str) -> int:
+    return _estimate(*_counts(text))
 
 
 def pieces(section: str, target: int = TARGET, hard: int = HARD) -> list[str]:
@@ -39,13 +47,16 @@ def pieces(section: str, target: int = TARGET, hard: int = HARD) -> list[str]:
                 line, joint = line[n:], ""
             units.append((joint, line))
             joint = "\n"
-    out, now = [], ""
+    out: list[str] = []
+    now, size = "", (0, 0, 0)
     for joint, unit in units:
-        if now and token_estimate(now + joint + unit) > target:
+        own = _counts(unit)
+        both = (size[0] + len(joint) + own[0], size[1] + own[1], size[2] + own[2])
+        if now and _estimate(*both) > target:
             out.append(now)
-            now = unit
+            now, size = unit, own
         else:
-            now = now + joint + unit if now else unit
+            now, size = (now + joint + unit, both) if now else (unit, own)
     out.append(now)
     return [p for p in (x.strip("\n") for x in out) if p.strip()] or [section]
 
