@@ -46,6 +46,10 @@ def levels(nodes: DataFrame, every: int = 8) -> DataFrame:
         if front.isEmpty():
             break
         done.append(front)
+    return _union(done)
+
+
+def _union(done: list[DataFrame]) -> DataFrame:
     while len(done) > 1:  # a balanced union keeps the plan shallow
         done = [a.unionByName(b) for a, b in zip(done[::2], done[1::2])] + ([done[-1]] if len(done) % 2 else [])
     return done[0]
@@ -91,10 +95,34 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of every rooted node, itself left out."""
+    """(ancestor, descendant, distance) of every rooted node, itself left out; below_rings has those of the others."""
     return (
         tree.where("depth > 0")
         .select(F.col("id").alias("descendant"), "depth", F.posexplode("line").alias("at", "ancestor"))
         .where("at < depth")
         .select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
     )
+
+
+def below_rings(lost: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) of unreached nodes (id, parent), itself left out; distance counts the steps down.
+
+    A ring member is above all the others of its ring and their tails, a tail node above what hangs below it. Every node has
+    one parent, so a walk down that stops before its own start meets no node twice: each pair comes out once, and the
+    rounds end with the longest ring and the tail below it."""
+    below = lost.select(F.col("parent").alias("up"), F.col("id").alias("cid"))
+    front = durable(below.where("up <> cid").select(F.col("up").alias("ancestor"), F.col("cid").alias("descendant"), F.lit(1).alias("distance")), "below_rings")
+    done = [front]
+    while not front.isEmpty():
+        step = front.join(below, (front.descendant == below.up) & (front.ancestor != below.cid))
+        front = durable(step.select("ancestor", F.col("cid").alias("descendant"), (F.col("distance") + 1).alias("distance")), "below_rings")
+        done.append(front)
+    return _union(done)
+
+
+def all_descendants(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", label_col: str = "slug") -> DataFrame:
+    """(ancestor, descendant, distance) of every node, rooted, on a ring or below one, itself left out."""
+    tree = hierarchy(df, id_col, parent_col, label_col)
+    caught = tree.where("depth < 0").select("id")
+    lost = durable(clean_nodes(df, id_col, parent_col, label_col).join(caught, "id", "left_semi").select("id", "parent"), "caught")
+    return descendants(tree).unionByName(below_rings(lost))

@@ -1,6 +1,6 @@
 import random
 
-from skerry.operators.hierarchy import descendants, hierarchy
+from skerry.operators.hierarchy import all_descendants, descendants, hierarchy
 
 
 def brute(rows):
@@ -46,6 +46,32 @@ def test_ring_of_one_tail_and_long_chain(spark):
     assert pairs == {(100 + i, 100 + j, j - i) for j in range(30) for i in range(j)}
 
 
+def below(rows):
+    """Ancestor pairs by walking down from each node, level by level, each node met once."""
+    kids = {}
+    for i, p in {(i, p) for i, p, _ in rows}:
+        kids.setdefault(p, []).append(i)
+    out = set()
+    for a in {i for i, _, _ in rows}:
+        met, level, steps = {a}, [a], 0
+        while level:
+            level, steps = [c for x in level for c in kids.get(x, []) if c not in met], steps + 1
+            met |= set(level)
+            out |= {(a, c, steps) for c in level}
+    return out
+
+
+def test_descendants_on_and_below_rings(spark):
+    rows = [(1, 1, "self"), (2, 1, "tail"), (3, 4, "a"), (4, 5, "b"), (5, 3, "c"), (6, 2, "far"), (7, 4, "d"), (8, 7, "e"), (20, None, "r"), (21, 20, "s"), (22, 99, "t")]
+    got = [tuple(r) for r in all_descendants(spark.createDataFrame(rows + rows[:4], "id long, parent_id long, slug string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == below(rows)
+    assert {(2, 6, 1), (1, 6, 2), (4, 3, 1), (4, 8, 2), (5, 8, 3), (3, 8, 4), (20, 21, 1)} <= set(got)
+    random.seed(4)
+    rows = [(i, random.choice([None, random.randrange(40), random.randrange(40)]), "x") for i in range(40)]
+    got = [tuple(r) for r in all_descendants(spark.createDataFrame(rows, "id long, parent_id long, slug string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == below(rows)
+
+
 def test_null_ids_contradictions_and_empty_table(spark):
     _, got = run(spark, [(None, 1, "x"), (1, None, "b"), (1, None, "a"), (2, 1, "c")])
     assert got == {1: (1, 0, "a"), 2: (1, 1, "a/c")}
