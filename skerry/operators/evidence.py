@@ -56,15 +56,13 @@ def premises_live(edges: DataFrame, m: DataFrame, reader: str, projects: list[st
     return seen.join(by, "derived", "left").select("derived", F.coalesce(F.col("n") == F.col("k"), F.lit(False)).alias("live"))
 
 
-def cyclic_nodes(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on or behind a cycle, by peeling: nodes nothing points to go, until none are left to go.
 
-    edges (src, dst). The rest has a cycle; an empty rest proves there is none."""
+    edges (src, dst). The rest has a cycle; an empty rest proves there is none. Rounds: the longest path that leads to no cycle."""
     left = durable(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "peel")
     n = left.count()
-    for _ in range(most_rounds):
-        if not n:
-            break
+    while n:
         left = durable(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "peel")
         rest = left.count()
         if rest == n:
@@ -73,17 +71,19 @@ def cyclic_nodes(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def would_cycle(edges: DataFrame, new: DataFrame, most_rounds: int = 200) -> DataFrame:
+def would_cycle(edges: DataFrame, new: DataFrame) -> DataFrame:
     """new (evidence, derived) with closes: adding the edge would close a cycle, because evidence already follows from
-    derived. The frontier of all proposals grows together, each pair (proposal, node) once."""
+    derived. The frontier of all proposals grows together, each pair (proposal, node) once, until it is empty."""
     e = edges.select(F.col("evidence").alias("from"), F.col("derived").alias("to"))
     seen = durable(new.select("evidence", "derived", F.col("derived").alias("at")).distinct(), "reach")
-    front = seen
-    for _ in range(most_rounds):
+    front, rounds = seen, 0
+    while True:
         step = front.join(e, front["at"] == e["from"]).select("evidence", "derived", F.col("to").alias("at")).distinct()
         front = durable(step.join(seen, ["evidence", "derived", "at"], "left_anti"), "reach")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 16 == 0:  # keeps the plan shallow
+            seen = durable(seen, "reach")
     hit = seen.where(F.col("at") == F.col("evidence")).select("evidence", "derived", F.lit(True).alias("hit")).distinct()
     return new.distinct().join(hit, ["evidence", "derived"], "left").select("evidence", "derived", F.coalesce("hit", F.lit(False)).alias("closes"))

@@ -88,6 +88,15 @@ def test_cycles(spark):
     assert {(r.evidence, r.derived): r.closes for r in E.would_cycle(d, new).collect()} == {(3, 1): True, (1, 3): False, (4, 4): True}
 
 
+def test_cycles_over_long_chains(spark):
+    n = 210
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-1, -2), (-2, -1)], "src long, dst long").coalesce(1)
+    assert {r.node for r in E.cyclic_nodes(e).collect()} == {-1, -2}
+    new = spark.createDataFrame([(n, 0), (0, n)], "evidence long, derived long").coalesce(1)
+    got = E.would_cycle(e.toDF("evidence", "derived"), new).collect()
+    assert {(r.evidence, r.derived): r.closes for r in got} == {(n, 0): True, (0, n): False}
+
+
 def test_similar_vectors_in_blocks(spark):
     import numpy as np
 
