@@ -22,8 +22,6 @@ from skerry.llm.tokens import VOCABULARY, with_token_counts
 from skerry.sources.durable import durable
 
 CELLS = 512
-#: Of what a source can give at most, the part the total is planned with: near the cap only ever larger rates add copies.
-HEADROOM = 0.9
 MOST_TARGETS = 10_000
 SEEDS = 8
 
@@ -116,7 +114,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = VO
     usable = {i: r for i, r in enumerate(rows) if (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0 and have.get(r.source, (0, 0))[1] > 0}
     size: dict[str, float] = {}
     for r in usable.values():
-        most = HEADROOM * r.max_repeats * have[r.source][1] / r.target_share
+        most = r.max_repeats * have[r.source][1] / r.target_share
         size[r.mix_name] = min(size.get(r.mix_name, math.inf), most)
     goal = {i: r.target_share * size[r.mix_name] for i, r in usable.items()}
     caps = {i: r.max_repeats for i, r in usable.items()}

@@ -30,6 +30,16 @@ def test_shares(spark):
     assert rows == again
 
 
+def test_scarcest_source_is_drawn_whole(spark):
+    docs = [(i, "few" if i < 20 else "many", f"p{i}", f"words of number {i} " * (1 + i % 5)) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, path string, text string")
+    targets = spark.createDataFrame([("m", "few", 0.25, 3), ("m", "many", 0.75, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    copies, shares = mix(df, targets)
+    s = {r.source: r for r in shares.collect()}
+    assert s["few"].tokens == 3 * s["few"].source_tokens and copies.where("source = 'few'").count() == 60
+    assert abs(s["many"].actual_share - 0.75) < 0.005 and s["many"].reached
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, path string, text string")
     targets = spark.createDataFrame([("m", "s", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
