@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import evidence as E
 from skerry.operators import views as V
-from skerry.operators.cliques import maximal_cliques
+from skerry.operators.cliques import larger_cliques, maximal_cliques
 from skerry.operators.vectors import similar_vectors
 from skerry.plans.memory import DIST, LIVE, M, MAY, NOW, PROJECTS, READER, edges
 from skerry.sources.tables import table
@@ -112,7 +112,7 @@ def similar_members(spark, d):
 
 
 def clique_groups(spark, d):
-    """Maximal cliques of 2 to 6 similar vector classes with their mean distance, tightest first."""
+    """Maximal cliques of 2 to 6 similar vector classes with their mean distance, tightest first; clique_groups_skipped counts the larger ones."""
     p, _ = _pairs(spark, d)
     g = maximal_cliques(p.select("a", "b"), 6).withColumn("label", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
     one = g.select("label", "size", F.explode("members").alias("a"))
@@ -121,7 +121,13 @@ def clique_groups(spark, d):
     return dist.select(F.col("label").alias("members"), F.col("size").cast("int"), "mean_distance")
 
 
-QUERIES = {f.__name__: f for f in (perspectives, perspective_filter, perspective_routes, evidence_edges, evidence_walk, premises_live, stale_derived, cycle_check, cycle_guard, similar_pairs, similar_members, clique_groups)}
+def clique_groups_skipped(spark, d):
+    """How many maximal cliques clique_groups leaves out as larger than 6."""
+    p, _ = _pairs(spark, d)
+    return larger_cliques(p.select("a", "b"), 6)
+
+
+QUERIES = {f.__name__: f for f in (perspectives, perspective_filter, perspective_routes, evidence_edges, evidence_walk, premises_live, stale_derived, cycle_check, cycle_guard, similar_pairs, similar_members, clique_groups, clique_groups_skipped)}
 
 _C = f"""{M}, c AS (SELECT id, vec_id FROM act WHERE author = 'u1' AND kind IS DISTINCT FROM 'page' AND coalesce(reasoning_level, 'explicit') = 'explicit' AND vec_id IS NOT NULL),
 n AS (SELECT vec_id, count(*) AS n FROM c GROUP BY 1),

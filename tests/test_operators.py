@@ -8,7 +8,7 @@ from skerry.functions import text as X
 from skerry.operators import chunking as K
 from skerry.operators import evidence as E
 from skerry.operators import oplog as O
-from skerry.operators.cliques import maximal_cliques
+from skerry.operators.cliques import larger_cliques, maximal_cliques
 from skerry.operators.components import connected_components
 from skerry.operators.vectors import similar_vectors
 
@@ -73,6 +73,13 @@ def test_components_and_cliques(spark):
     assert c == {(1, 2, 3), (3, 4), (7, 8)}  # the clique of seven is too large
 
 
+def test_larger_cliques_are_counted(spark):
+    whole = lambda v: [(a, b) for a in v for b in v if a < b]
+    e = whole(range(6)) + whole(range(20, 27)) + whole(range(40, 49)) + whole([*range(42, 49), 60]) + [(26, 40)]
+    assert larger_cliques(spark.createDataFrame(e, "a long, b long"), 6).first().skipped == 3
+    assert larger_cliques(spark.createDataFrame(whole(range(6)), "a long, b long"), 6).first().skipped == 0
+
+
 def test_long_chain_settles(spark):
     n = 300
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
