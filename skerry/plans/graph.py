@@ -76,7 +76,7 @@ def cycle_check(spark, d):
 
 
 def cycle_guard(spark, d):
-    """For every edge turned round: would it close a cycle with the ones there are?"""
+    """Of a fifth of the edges, those of id % 10 = 0 turned round and those of id % 10 = 5 as they are: would it close a cycle?"""
     e = edges(spark, d)
     new = e.where("id % 10 = 0").select(F.col("derived").alias("evidence"), F.col("evidence").alias("derived"))
     mixed = new.unionByName(e.where("id % 10 = 5").select("evidence", "derived"))
