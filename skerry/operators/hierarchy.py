@@ -1,17 +1,19 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants and rings.
 
-Level-wise frontier joins extend paths from the roots, one join a level, so work is
-proportional to the output. Rows never reached hang below a ring (every one of them has
-exactly one parent, itself unreached); for those the parent pointers are squared, which
-takes log2(rows) joins however long the ring or its tail is.
+Level-wise frontier joins extend paths from the roots, one join a level. All levels go to one table, a
+partition each, so that the plan of the result is one scan however deep the trees are. The rows still to be placed
+are written again whenever half of them have been placed, so a level reads at most twice what is left.
+What is left in the end hangs below a ring (every such row has exactly one parent, itself unreached); for those
+the parent pointers are squared, which takes log2(rows) joins however long the ring or its tail is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skerry.sources.durable import durable
+from skerry.sources.durable import durable, shelf
 
 
 def clean_nodes(df: DataFrame, id_col: str, parent_col: str, label_col: str) -> DataFrame:
@@ -23,30 +25,39 @@ def clean_nodes(df: DataFrame, id_col: str, parent_col: str, label_col: str) ->
     return rows.groupBy("id").agg(F.min(F.struct("parent", "label")).alias("r")).select("id", "r.parent", "r.label")
 
 
-def levels(nodes: DataFrame, every: int = 8) -> DataFrame:
-    """Rooted nodes as (id, root, depth, path, line): line holds the ids from the root down.
+def levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rooted nodes as (id, root, depth, path, line), the nodes never reached as (id, parent)); line holds the ids from the root down.
 
-    Each round joins the last level with the rows below it. The frontier is written to the
+    Each round joins the last level with the rows not placed yet. Levels are written to the
     shared folder, so a lost executor costs one level, not the whole climb."""
+    spark = nodes.sparkSession
     parents = nodes.select(F.col("id").alias("pid"))
     marked = nodes.join(parents, nodes.parent == parents.pid, "left")
     is_root = F.col("pid").isNull()
-    roots = marked.where(is_root).select(
-        "id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("label").alias("path"), F.array("id").alias("line")
-    )
+    front = marked.where(is_root).select("id", F.col("id").alias("root"), F.col("label").alias("path"), F.array("id").alias("line"))
     below = durable(marked.where(~is_root).select(F.col("id").alias("cid"), "parent", "label"), "below")
-    front = durable(roots, "level")
-    done = [front]
-    while True:
-        step = front.join(below, front.id == below.parent).select(
-            F.col("cid").alias("id"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "label").alias("path"),
-            F.concat("line", F.array("cid")).alias("line"),
+    left, placed, depth, since = below.count(), 0, 0, 0
+    base, kind = shelf(spark, "levels"), T.StructType([*front.schema.fields, T.StructField("depth", T.IntegerType())])
+    read = lambda: spark.read.schema(kind).option("basePath", base)
+    front.write.parquet(f"{base}/depth=0")
+    while left:
+        last = spark.read.schema(front.schema).parquet(f"{base}/depth={depth}")
+        step = last.join(below, last.id == below.parent).select(
+            F.col("cid").alias("id"), "root", F.concat("path", F.lit("/"), "label").alias("path"), F.concat("line", F.array("cid")).alias("line")
         )
-        front = durable(step, "level")
-        if front.isEmpty():
+        depth += 1
+        step.write.parquet(f"{base}/depth={depth}")
+        n = spark.read.schema(front.schema).parquet(f"{base}/depth={depth}").count()
+        if not n:
             break
-        done.append(front)
-    return _union(done)
+        placed += n
+        if 2 * placed >= left:
+            done = read().parquet(*(f"{base}/depth={k}" for k in range(since + 1, depth + 1))).select(F.col("id").alias("cid"))
+            below, left, placed, since = durable(below.join(done, "cid", "left_anti"), "below"), left - placed, 0, depth
+    reached = read().parquet(base).select("id", "root", "depth", "path", "line")
+    if since < depth:
+        below = below.join(reached.where(F.col("depth") > since).select(F.col("id").alias("cid")), "cid", "left_anti")
+    return reached, durable(below.select(F.col("cid").alias("id"), "parent"), "lost")
 
 
 def _union(done: list[DataFrame]) -> DataFrame:
@@ -85,8 +96,7 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     line and the least id of the ring as root. An empty table gives no rows; columns of df other
     than the three named are ignored, whatever they are called."""
     nodes = durable(clean_nodes(df, id_col, parent_col, label_col), "nodes")
-    reached = levels(nodes)
-    lost = durable(nodes.join(reached.select("id"), "id", "left_anti").select("id", "parent"), "lost")
+    reached, lost = levels(nodes)
     caught = rings(lost).select(
         "id", F.col("ring").alias("root"), F.when(F.col("on_ring"), F.lit(-1)).otherwise(F.lit(-2)).alias("depth"), F.lit("").alias("path"),
         F.array().cast("array<bigint>").alias("line"),
