@@ -3,10 +3,11 @@
 Documents are hashed into shards of some hundreds of windows each, packed independently: every
 task gets a bounded number of items however many there are, and a shard wastes less than one window
 against packing all at once. Within a shard the largest remaining document is taken and its
-undominated fillings are tried, fullest first; a branch ends where its waste exceeds what the
-best packing so far leaves room for. Best-fit decreasing gives the first incumbent, so a shard whose
-incumbent meets the lower bound is not searched at all. The search stops after a stated number of
-fillings and then keeps the incumbent: always a complete packing.
+undominated fillings, of any number of documents, are tried, fullest first; a branch ends where its waste exceeds
+what the best packing so far leaves room for. Reachable sums are kept as bit sets, one for every number of the
+smallest documents, so enumerating fillings never runs into a dead end. Best-fit decreasing gives the first incumbent, and a
+shard whose incumbent meets the lower bound is not searched at all. The search stops after ``steps`` fillings
+and then keeps the incumbent: always a complete packing. ``fill_report`` says how often it won and what the bound leaves.
 """
 
 from __future__ import annotations
@@ -56,34 +57,80 @@ def lower_bound(sizes: np.ndarray, cap: int) -> int:
     return int((half + more).max()) if len(s) else 0
 
 
-def fillings(left: list[int], room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of room from the ascending sizes left, fullest first.
-
-    One item: only the largest that fits. Two and three: only with the largest that fits
-    last, and only if they hold more than the largest single item, which could else replace them."""
-    one = bisect_right(left, room) - 1
-    if one < 0:
-        return [()]
-    out, least = {(left[one],)}, left[one]
-    if least < room:
-        seen = None
-        for i in range(one, -1, -1):
-            a = left[i]
-            if a == seen or 2 * a + 1 <= least // 2 or len(out) > 64:
-                if a == seen:
-                    continue
-                break
-            seen = a
-            j = min(i - 1, bisect_right(left, room - a) - 1)
-            if j < 0:
+class Sums:
+    """Which sums the k smallest of the ascending sizes reach, for every k, as bit sets up to cap."""
+
+    def __init__(self, cap: int):
+        self.cap, self.mask = cap, (1 << cap + 1) - 1
+        self.reach = [1]
+
+    def upto(self, left: list[int]) -> list[int]:
+        for s in left[len(self.reach) - 1 :]:
+            r = self.reach[-1]
+            self.reach.append((r | r << s) & self.mask)
+        return self.reach
+
+    def changed(self, at: int) -> None:
+        """The sizes from index at on are others now."""
+        del self.reach[at + 1 :]
+
+
+def fillings(left: list[int], room: int, least: int, sums: Sums | None = None):
+    """Undominated fillings of room from the ascending sizes left that hold at least ``least``, fullest first, lazily.
+
+    Of equal totals those with larger items come first. A filling is dominated, and left out, if another size fits that
+    could be added, or put for a smaller one of its own: whatever packs the rest then packs it after the exchange too."""
+    n = bisect_right(left, room)
+    if not n:
+        if least <= 0:
+            yield ()
+        return
+    sums = sums or Sums(room)
+    reach = sums.upto(left)
+    have = reach[n] & ((1 << room + 1) - 1)
+    while have:
+        total = have.bit_length() - 1
+        if total < least:
+            return
+        have ^= 1 << total
+        free = room - total
+        if free >= left[0] and total < sum(left[:n]):
+            rest = True  # something may still fit beside it: only a filling without the smallest size is undominated
+        else:
+            rest = False
+        stack = [(n, total, ())]
+        while stack:
+            k, t, taken = stack.pop()
+            if not t:
+                f = taken
+                if not free or not _dominated(left, n, f, free, rest):
+                    yield f
+                    reach = sums.upto(left)  # left has been used and put back meanwhile
                 continue
-            b = left[j]
-            if a + b > least:
-                out.add((a, b))
-            k = min(j - 1, bisect_right(left, room - a - b) - 1)
-            if k >= 0 and a + b + left[k] > least:
-                out.add((a, b, left[k]))
-    return sorted(out, key=lambda f: (-sum(f), len(f), f))
+            k = min(k, bisect_right(left, t))
+            while k and not reach[k - 1] >> t & 1 and not (t >= left[k - 1] and reach[k - 1] >> (t - left[k - 1]) & 1):
+                k -= 1
+            s = left[k - 1]
+            lower = bisect_left(left, s, 0, k)  # the next smaller size: leaving one copy out leaves out all
+            if reach[lower] >> t & 1:
+                stack.append((lower, t, taken))
+            if t >= s and reach[k - 1] >> (t - s) & 1:
+                stack.append((k - 1, t - s, (*taken, s)))
+
+
+def _dominated(left: list[int], n: int, f: tuple, free: int, rest: bool) -> bool:
+    """Whether an unused size could be added to the filling f, or put for a smaller one, within the free room."""
+    used: dict[int, int] = {}
+    for s in f:
+        used[s] = used.get(s, 0) + 1
+    spare = lambda s: bisect_right(left, s, 0, n) - bisect_left(left, s, 0, n) > used.get(s, 0)
+    for base in {*f, 0} if rest else set(f):
+        at = bisect_right(left, base + free, 0, n) - 1
+        while at >= 0 and left[at] > base:
+            if spare(left[at]):
+                return True
+            at = bisect_left(left, left[at], 0, n) - 1
+    return False
 
 
 def complete(sizes: list[int], cap: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
@@ -105,10 +152,22 @@ def complete(sizes: list[int], cap: int, steps: int = SEARCH_STEPS) -> list[list
 def _search(falling: list[int], cap: int, need: int, most: int, steps: int):
     """Depth first over fillings, without recursion; the first packing in ``need`` windows, else the best found."""
     total, best, target = sum(falling), None, most - 1
-    left = falling[::-1]
-    stack: list[tuple[list, int, tuple]] = []  # untried fillings, waste before, items taken by the current one
-    packed: list[list[int]] = []
-    waste = 0
+    left, sums = falling[::-1], Sums(cap)
+    stack: list[tuple] = []  # the largest item, its untried fillings, the waste before it
+    packed: list[tuple[int, ...]] = []
+
+    def put_back(sizes):
+        for s in sizes:
+            at = bisect_left(left, s)
+            left.insert(at, s)
+            sums.changed(at)
+
+    def take(sizes):
+        for s in sizes:
+            at = bisect_left(left, s)
+            del left[at]
+            sums.changed(at)
+
     down = True
     while steps:
         if down:
@@ -119,35 +178,60 @@ def _search(falling: list[int], cap: int, need: int, most: int, steps: int):
                 down = False
                 continue
             big = left.pop()
-            stack.append(([f for f in reversed(fillings(left, cap - big))], waste, (big,)))
-        options, before, taken = stack[-1]
-        if not down:  # put the last choice back
-            for s in taken[1:]:
-                insort(left, s)
-            if len(packed) == len(stack):
-                packed.pop()
-            stack[-1] = (options, before, taken[:1])
+            sums.changed(len(left))
+            before = stack[-1][3] if stack else 0
+            stack.append([big, fillings(left, cap - big, cap - big - (target * cap - total - before), sums), before, 0])
+        elif len(packed) == len(stack):  # put the last choice back
+            put_back(packed.pop()[1:])
         down = False
-        allowed = target * cap - total
-        if options and target >= need:
-            f = options.pop()
+        big, options, before, _ = stack[-1]
+        f = next(options, None) if target >= need else None
+        if f is not None:
             steps -= 1
-            lost = before + cap - taken[0] - sum(f)
-            if lost <= allowed:
-                for s in f:
-                    del left[bisect_left(left, s)]
-                stack[-1] = (options, before, (taken[0], *f))
-                packed.append([taken[0], *f])
-                waste, down = lost, True
+            lost = before + cap - big - sum(f)
+            if lost <= target * cap - total:
+                take(f)
+                packed.append((big, *f))
+                stack[-1][3] = lost
+                down = True
                 continue
-            options.clear()  # the rest is emptier still
-        insort(left, taken[0])
+        put_back([big])  # no filling left, or the rest is emptier still
         stack.pop()
         if not stack:
             break
     return best
 
 
+def _items(docs: DataFrame, windows: DataFrame, vocabulary: str) -> DataFrame | None:
+    """(doc_id, n, window_name, capacity_tokens, shard), every document once for each window kind; None if there are none."""
+    kinds = windows.where("window_name IS NOT NULL AND capacity_tokens > 0").select("window_name", "capacity_tokens").distinct().limit(MOST_WINDOW_KINDS + 1).collect()
+    if len(kinds) > MOST_WINDOW_KINDS:
+        raise ValueError(f"more than {MOST_WINDOW_KINDS} window kinds; windows must be a small dimension")
+    sized = with_token_counts(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "text", vocabulary)
+    sized = durable(sized.groupBy("doc_id").agg(F.max("n_tokens").alias("n")), "sizes")
+    stats = sized.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
+    if not kinds or not stats["docs"]:
+        return None
+    shards = [max(1, round(stats["tokens"] / (r.capacity_tokens * WINDOWS_A_SHARD)), -(-stats["docs"] // ITEMS_A_SHARD)) for r in sorted(kinds)]
+    each = F.array(*(F.struct(F.lit(r.window_name).alias("window_name"), F.lit(r.capacity_tokens).alias("capacity_tokens"), F.lit(n).alias("shards")) for r, n in zip(sorted(kinds), shards)))
+    return sized.select("doc_id", "n", F.explode(each).alias("w")).select(
+        "doc_id", "n", "w.window_name", "w.capacity_tokens", F.pmod(F.xxhash64("doc_id"), F.col("w.shards")).alias("shard")
+    )
+
+
+def _pieces(pdf: pd.DataFrame, cap: int):
+    """(full windows as (doc, part), items as (doc, part, size) below or at the capacity, documents without tokens) of a shard."""
+    full, items, empty = [], [], []
+    for d, s in sorted(zip(pdf["doc_id"].tolist(), pdf["n"].tolist())):
+        parts = s // cap if s > cap else 0
+        full += [(d, part) for part in range(parts)]
+        if s - cap * parts:
+            items.append((d, parts, s - cap * parts))
+        elif not s:
+            empty.append(d)
+    return full, items, empty
+
+
 def pack(docs: DataFrame, windows: DataFrame, vocabulary: str = VOCABULARY, steps: int = SEARCH_STEPS) -> DataFrame:
     """docs (doc_id, text), windows (window_name, capacity_tokens) ->
     (window_name, capacity_tokens, bin, place, offset, doc_id, part, start_token, n_tokens).
@@ -156,46 +240,21 @@ def pack(docs: DataFrame, windows: DataFrame, vocabulary: str = VOCABULARY, step
     is cut into full windows and a rest, which is packed like a document (part numbers its pieces).
     Documents without tokens get length 0 in some window. Repeated doc_ids count once, null ones are
     dropped; window kinds without a positive capacity are ignored."""
-    kinds = windows.where("window_name IS NOT NULL AND capacity_tokens > 0").distinct().limit(MOST_WINDOW_KINDS + 1).collect()
-    if len(kinds) > MOST_WINDOW_KINDS:
-        raise ValueError(f"more than {MOST_WINDOW_KINDS} window kinds; windows must be a small dimension")
-    sized = with_token_counts(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "text", vocabulary)
-    sized = durable(sized.groupBy("doc_id").agg(F.max("n_tokens").alias("n")), "sizes")
-    stats = sized.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
     schema = "window_name string, capacity_tokens int, bin long, place int, offset int, doc_id long, part int, start_token int, n_tokens int"
-    spark = docs.sparkSession
-    if not kinds or not stats["docs"]:
-        return spark.createDataFrame([], schema)
-    shards = {
-        r.window_name: max(1, round(stats["tokens"] / (r.capacity_tokens * WINDOWS_A_SHARD)), -(-stats["docs"] // ITEMS_A_SHARD)) for r in kinds
-    }
-    each = F.array(*(F.struct(F.lit(r.window_name).alias("window_name"), F.lit(r.capacity_tokens).alias("capacity_tokens"), F.lit(shards[r.window_name]).alias("shards")) for r in sorted(kinds)))
-    items = sized.select("doc_id", "n", F.explode(each).alias("w")).select(
-        "doc_id", "n", "w.window_name", "w.capacity_tokens", F.pmod(F.xxhash64("doc_id"), F.col("w.shards")).alias("shard")
-    )
+    items = _items(docs, windows, vocabulary)
+    if items is None:
+        return docs.sparkSession.createDataFrame([], schema)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        name, cap, shard = key[0], int(key[1]), int(key[2])
-        pdf = pdf.sort_values("doc_id")
-        ids, n = pdf["doc_id"].tolist(), pdf["n"].tolist()
-        base, rows, used = shard << 24, [], 0
-        items, empty = [], []
-        for d, s in zip(ids, n):
-            for part in range(s // cap if s > cap else 0):
-                rows.append((base + used, 0, 0, d, part, part * cap, cap))
-                used += 1
-            rest = s - cap * (s // cap) if s > cap else s
-            if rest:
-                items.append((d, s // cap if s > cap else 0, rest))
-            elif not s:
-                empty.append(d)
-        for b in complete([i[2] for i in items], cap, steps):
+        name, cap, base = key[0], int(key[1]), int(key[2]) << 24
+        full, items, empty = _pieces(pdf, cap)
+        rows = [(base + i, 0, 0, d, part, part * cap, cap) for i, (d, part) in enumerate(full)]
+        for used, b in enumerate(complete([i[2] for i in items], cap, steps), len(full)):
             at = 0
             for place, i in enumerate(b):
                 d, part, s = items[i]
                 rows.append((base + used, place, at, d, part, part * cap, s))
                 at += s
-            used += 1
         rows.extend((base, 0, 0, d, 0, 0, 0) for d in empty)
         out = pd.DataFrame(rows, columns=["bin", "place", "offset", "doc_id", "part", "start_token", "n_tokens"])
         out.insert(0, "window_name", name)
@@ -205,7 +264,26 @@ def pack(docs: DataFrame, windows: DataFrame, vocabulary: str = VOCABULARY, step
     return items.groupBy("window_name", "capacity_tokens", "shard").applyInPandas(run, schema)
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """For each window kind: windows used, tokens held, share of the room filled."""
-    g = packed.groupBy("window_name", "capacity_tokens").agg(F.countDistinct("bin").alias("windows"), F.sum("n_tokens").alias("tokens"))
-    return g.withColumn("filled", F.round(F.col("tokens") / (F.col("windows") * F.col("capacity_tokens")), 6))
+def fill_report(docs: DataFrame, windows: DataFrame, vocabulary: str = VOCABULARY, steps: int = SEARCH_STEPS) -> DataFrame:
+    """(window_name, capacity_tokens, windows, bound, tokens, filled, shards, searched, won) of what ``pack`` does.
+
+    bound is the number of windows that no packing of the shards can do without; searched are the shards whose best fit
+    missed it, won those where the search beat best fit."""
+    schema = "window_name string, capacity_tokens int, windows long, bound long, tokens long, searched int, won int"
+    items = _items(docs, windows, vocabulary)
+    if items is None:
+        return docs.sparkSession.createDataFrame([], schema.replace("searched", "filled double, shards long, searched").replace("int, won int", "long, won long"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cap = int(key[1])
+        full, items, _ = _pieces(pdf, cap)
+        sizes = sorted((i[2] for i in items), reverse=True)
+        fit, need, got = len(best_fit(sizes, cap)), lower_bound(np.array(sizes, np.int64), cap), len(complete(sizes, cap, steps))
+        row = (key[0], cap, len(full) + got, len(full) + need, int(pdf["n"].sum()), int(fit > need), int(got < fit))
+        return pd.DataFrame([row], columns=["window_name", "capacity_tokens", "windows", "bound", "tokens", "searched", "won"])
+
+    by = items.groupBy("window_name", "capacity_tokens", "shard").applyInPandas(run, schema)
+    g = by.groupBy("window_name", "capacity_tokens").agg(
+        F.sum("windows").alias("windows"), F.sum("bound").alias("bound"), F.sum("tokens").alias("tokens"), F.count("*").alias("shards"), F.sum("searched").alias("searched"), F.sum("won").alias("won")
+    )
+    return g.select("window_name", "capacity_tokens", "windows", "bound", "tokens", F.round(F.col("tokens") / (F.col("windows") * F.col("capacity_tokens")), 6).alias("filled"), "shards", "searched", "won")

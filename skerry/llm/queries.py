@@ -79,7 +79,18 @@ def p6_windows(spark: SparkSession, d: str) -> DataFrame:
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     from skerry.llm.packing import fill_report
 
-    return fill_report(p6_windows(spark, d))
+    return fill_report(table(spark, d, "documents"), table(spark, d, "pack_windows"))
+
+
+def p6_complete(spark: SparkSession, d: str) -> DataFrame:
+    """For each window kind: the documents placed, the windows above their capacity and the documents split without need."""
+    rows = p6_windows(spark, d)
+    bins = rows.groupBy("window_name", "capacity_tokens", "bin").agg(F.sum("n_tokens").alias("held"))
+    over = bins.groupBy("window_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    docs = rows.groupBy("window_name", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("parts"))
+    need = F.greatest(F.ceil(F.col("size") / F.col("capacity_tokens")), F.lit(1))
+    split = docs.groupBy("window_name").agg(F.count("*").alias("documents"), F.count_if(F.col("parts") != need).alias("split_without_need"))
+    return split.join(over, "window_name").select("window_name", "documents", "overfull", "split_without_need")
 
 
 def _mix(spark: SparkSession, d: str):
@@ -96,6 +107,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each target whose source gave something: documents drawn too often, drawn twice under one copy, or of another source."""
+    copies = _mix(spark, d)[0].groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("k"))
+    of = table(spark, d, "documents").select("doc_id", F.col("source").alias("own")).distinct()
+    limits = table(spark, d, "mix_targets").select("mix_name", "source", "max_repeats").distinct()
+    held = copies.join(of, "doc_id").join(limits, ["mix_name", "source"])
+    return held.groupBy("mix_name", "source").agg(
+        F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("n") != F.col("k")).alias("twice"), F.count_if(~F.col("source").eqNullSafe(F.col("own"))).alias("elsewhere")
+    )
+
+
 def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from skerry.llm.language import segments
 
@@ -132,8 +154,10 @@ QUERIES = {
     "p5_redacted": p5_redacted,
     "p6_windows": p6_windows,
     "p6_fill": p6_fill,
+    "p6_complete": p6_complete,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
     "p8_documents": p8_documents,
@@ -152,6 +176,10 @@ c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM r a JOIN r b ON a.tok = b.tok AN
  WHERE a.s = b.s OR a.s IS NULL OR b.s IS NULL),
 l AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c JOIN m a ON a.id = x JOIN m b ON b.id = y)
 SELECT x AS memory_id_a, y AS memory_id_b FROM l WHERE 4 * i >= 3 * (n - i)""",
+    "p6_complete": """SELECT window_name, count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_without_need
+FROM documents CROSS JOIN (SELECT DISTINCT window_name, capacity_tokens FROM pack_windows WHERE capacity_tokens > 0) w GROUP BY window_name""",
+    "p7_kept": """SELECT DISTINCT mix_name, source, CAST(0 AS BIGINT) AS too_often, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS elsewhere
+FROM mix_targets t WHERE target_share > 0 AND max_repeats > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '')""",
     "p4_found": """WITH l AS (SELECT lower(trim(doc_type)) AS k, max_tokens FROM chunk_limits)
 SELECT DISTINCT doc_id FROM documents d LEFT JOIN l ON l.k = lower(trim(d.doc_type))
 WHERE ceil(octet_length(encode(d.text)) / 4.0) > coalesce(l.max_tokens, (SELECT max_tokens FROM l WHERE k = 'default'))""",

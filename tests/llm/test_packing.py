@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from skerry.llm.packing import best_fit, complete, lower_bound, pack
+from skerry.llm.packing import best_fit, complete, fill_report, fillings, lower_bound, pack
 
 
 def optimum(sizes, cap):
@@ -31,9 +31,48 @@ def test_optimal_on_small_sets():
         assert lower_bound(np.array(sizes), cap) <= optimum(sizes, cap) == len(got)
 
 
+def full_windows(rnd, windows, cap, parts):
+    """Sizes that fill so many windows to the brim, each with so many items."""
+    out = []
+    for _ in range(windows):
+        marks = sorted(rnd.sample(range(1, cap), parts - 1))
+        out += [b - a for a, b in zip([0, *marks], [*marks, cap])]
+    return sorted(out, reverse=True)
+
+
 def test_search_beats_best_fit():
-    sizes = sorted([6, 5, 4, 3, 2, 2, 2, 4, 4, 4, 3, 3, 3, 3, 7, 7, 5, 5], reverse=True)
-    assert len(complete(sizes, 12, 5000)) <= len(best_fit(sizes, 12))
+    rnd = random.Random(4)
+    won = {}
+    for parts in (3, 5):
+        for _ in range(12):
+            sizes = full_windows(rnd, 9, 97, parts)
+            fit, got = len(best_fit(sizes, 97)), len(complete(sizes, 97, 5000))
+            assert 9 <= got <= fit
+            won[parts] = won.get(parts, 0) + (got < fit)
+    assert won[3] >= 6 and won[5] >= 4
+
+
+def undominated(left, room, least):
+    """By trying every subset: nothing could be added, and no size put for a smaller one."""
+    out = set()
+    for r in range(len(left) + 1):
+        for c in itertools.combinations(left, r):
+            rest, free = list(left), room - sum(c)
+            for x in c:
+                rest.remove(x)
+            if least <= sum(c) <= room and not any(x <= free for x in rest) and not any(y < x <= y + free for y in c for x in rest):
+                out.add(tuple(sorted(c, reverse=True)))
+    return out
+
+
+def test_fillings_are_the_undominated_ones():
+    rnd = random.Random(2)
+    for _ in range(200):
+        left = sorted(rnd.randint(1, 12) for _ in range(rnd.randint(0, 7)))
+        room = rnd.randint(0, 30)
+        got = list(fillings(left, room, room - 8))
+        assert len(got) == len(set(got)) and set(got) == undominated(left, room, room - 8)
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
 
 
 def test_documents(spark):
@@ -59,4 +98,9 @@ def test_documents(spark):
             p.sort(key=lambda x: x.part)
             assert [x.start_token for x in p] == [cap * k for k in range(len(p))] and (len(p) == 1 or all(x.n_tokens == cap for x in p[:-1]))
     assert {r.window_name for r in rows} == {"a", "b"}
+    for r in fill_report(df, windows).collect():
+        own = [x for x in rows if x.window_name == r.window_name]
+        assert r.windows == len({x.bin for x in own if x.n_tokens}) and r.tokens == sum(x.n_tokens for x in own)
+        assert r.bound <= r.windows <= r.bound + 1 and r.won <= r.searched <= r.shards == 1
+    assert fill_report(df.limit(0), windows).count() == 0
     assert pack(df.limit(0), windows).count() == 0
