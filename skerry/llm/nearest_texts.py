@@ -8,7 +8,9 @@ and within the first ``b - ceil(2t/(1+t) b) + l`` words of the smaller one (its
 Level 1 joins on single prefix words. Where the estimated number of index postings under a word is
 above the cost bound the prefix is lengthened by one and two common words are required, then three:
 the key is the pair or triple, in prefix order, so nothing is lost and nothing is enumerated under a
-frequent word. Whether a key is extended depends on the key alone, so both documents decide alike.
+frequent word. Whether a key is extended depends on the key alone, so both documents decide alike. A triple that is still
+frequent is split by subject: documents of one subject meet under a key of their own, and those without a subject
+meet the others under two more.
 
 All estimates come from sketches of 2^22 (words) and 2^20 counters (keys); their size does not depend on the data, and they
 are the only thing that reaches the driver. A word whose counter says it stands in one document only is in no posting. A collision in a sketch only moves a word in the order or
@@ -28,6 +30,8 @@ from skerry.sources.durable import durable
 
 BITS, DF_BITS = 20, 22
 SIZE, DF_SIZE = 1 << BITS, 1 << DF_BITS
+#: Marks of the keys that a frequent triple is split into: of one subject, probed by those without one, probed for those without one.
+_SUBJECT, _LONE, _MATE = 1, 2, 3
 MIN_COST = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,17 +75,6 @@ def _ordered(batch: pa.RecordBatch, df: np.ndarray):
     return h, row, np.arange(len(h)) - off[row], n, cost
 
 
-def _set_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    """A hash of each row's set of words, whatever their order."""
-    arr = batch.column(batch.schema.get_field_index("h"))
-    off = arr.offsets.to_numpy().astype(np.int64)
-    h = arr.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64).view(np.uint64)
-    x = (h ^ (h >> np.uint64(31))) * _MIX
-    x = np.concatenate([[np.uint64(0)], np.cumsum(x ^ (x >> np.uint64(27)), dtype=np.uint64)])
-    off = off - off[0]
-    return (x[off[1:]] - x[off[:-1]]).view(np.int64)
-
-
 def _bitmap(batch: pa.RecordBatch) -> np.ndarray:
     """64 bits for each row, one set by every word. Two sets differ in at least as many words as their bitmaps in bits."""
     arr = batch.column(batch.schema.get_field_index("h"))
@@ -135,7 +128,7 @@ def _index_sketch(df, bound, depth, t):
 
 def _postings(df_b, sketch_b, bound, depth, t):
     """Prefix postings (key, doc, subject, meta, bits): meta holds the size, the place of the first prefix word and whether
-    the key is indexed; bits has a bit for each word, so that sets which differ too much are told apart unseen. Of copies with one subject in a batch
+    the posting probes and is indexed; bits has a bit for each word, so that sets which differ too much are told apart unseen. Of copies with one subject in a batch
     only the least doc is kept, so that a group of copies that holds a third of all rows shrinks before the shuffle."""
 
     def run(batches):
@@ -144,13 +137,16 @@ def _postings(df_b, sketch_b, bound, depth, t):
             if not b.num_rows:
                 continue
             doc, subject = (b.column(b.schema.get_field_index(c)) for c in ("doc", "subject"))
-            words = _set_hashes(b)
-            order = np.lexsort((doc.to_numpy(), subject.fill_null(0).to_numpy(), subject.is_null().to_numpy(zero_copy_only=False), words))
+            # the same 128 bits that name a class
+            marks = [b.column(b.schema.get_field_index(c)).to_numpy() for c in ("s1", "s2")]
+            marks += [subject.fill_null(0).to_numpy(), subject.is_null().to_numpy(zero_copy_only=False)]
+            order = np.lexsort((doc.to_numpy(), *marks))
             same = np.zeros(len(order), bool)
-            w, u, z = words[order], subject.fill_null(0).to_numpy()[order], subject.is_null().to_numpy(zero_copy_only=False)[order]
-            same[1:] = (w[1:] == w[:-1]) & (u[1:] == u[:-1]) & (z[1:] == z[:-1])
+            same[1:] = np.logical_and.reduce([m[order][1:] == m[order][:-1] for m in marks])
             keep = np.sort(order[~same])
             b = b.take(pa.array(keep))
+            subject = b.column(b.schema.get_field_index("subject"))
+            own, none = subject.fill_null(0).to_numpy().astype(np.int64), subject.is_null().to_numpy(zero_copy_only=False)
             bits = _bitmap(b)
             h, row, pos, n, cost = _ordered(b, df)
             probe, index = _probe(n, t), _index(n, t)
@@ -166,10 +162,20 @@ def _postings(df_b, sketch_b, bound, depth, t):
                     seen = sketch[level][_bucket(key)]
                     cheap = (seen > 0) & (seen <= bound)
                     dear = seen > bound
-                if level == depth - 1:
-                    cheap, dear = cheap | dear, dear & False
                 r = row[at]
-                out.append((key[cheap], r[cheap], first[cheap], (pos[at] < (index + level + 1)[r])[cheap]))
+                indexed = pos[at] < (index + level + 1)[r]
+                out.append((key[cheap], r[cheap], first[cheap], 2 | indexed[cheap]))
+                if level == depth - 1:  # still frequent: by subject
+                    k, r, f, i = key[dear], r[dear], first[dear], indexed[dear].astype(np.int64)
+                    lone = none[r]
+                    split = np.where(lone, _join_key(k, np.full(len(k), _LONE)), _join_key(k, _join_key(own[r], np.full(len(k), _SUBJECT))))
+                    out.append((split, r, f, 2 | i))  # of one subject; without one: probes all, and is met by its like
+                    mate = ~lone
+                    out.append((_join_key(k, np.full(len(k), _MATE))[mate], r[mate], f[mate], np.full(int(mate.sum()), 2)))  # probes those without
+                    into = np.where(lone, _join_key(k, np.full(len(k), _MATE)), _join_key(k, np.full(len(k), _LONE)))
+                    into, r, f = (x[i == 1] for x in (into, r, f))
+                    out.append((into, r, f, np.full(len(r), 1)))  # is met across
+                    break
                 at, key, first = at[dear], key[dear], first[dear]
                 if not len(at):
                     break
@@ -177,7 +183,7 @@ def _postings(df_b, sketch_b, bound, depth, t):
             key, r, first, idx = (np.concatenate(x) for x in zip(*out))
             col = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(r))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), col("doc"), col("subject"), pa.array((n[r] << 32 | first << 1 | idx).astype(np.int64)), pa.array(bits[r])],
+                [pa.array(key), col("doc"), col("subject"), pa.array((n[r] << 32 | first << 2 | idx).astype(np.int64)), pa.array(bits[r])],
                 names=["key", "doc", "subject", "meta", "bits"],
             )
 
@@ -212,7 +218,7 @@ def similar_classes(docs: DataFrame, threshold: float = 0.75):
 
     members (doc, class, subject, s1, s2): only documents that share their word set with another one; those of one
     subject share a class, named by its least doc. pairs (class_a, class_b), class_a < class_b: classes whose subjects
-    agree or are null on a side and whose word sets differ but reach the threshold. A document that is no
+    agree or are null on a side and whose word sets reach the threshold. A document that is no
     member is a class of its own. Copies are never expanded."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -244,13 +250,13 @@ def similar_classes(docs: DataFrame, threshold: float = 0.75):
     cells = _collect_sketch(partial.groupBy("bucket").agg(F.sum("n").alias("n")), depth * SIZE).reshape(depth, SIZE)
     sketch_b = sc.broadcast(cells.astype(np.int32))
 
-    posts = hashed.select("doc", "subject", "h").mapInArrow(_postings(df_b, sketch_b, bound, depth, threshold), "key long, doc long, subject long, meta long, bits long")
-    a = posts.select("key", F.col("doc").alias("a"), F.col("subject").alias("sa"), F.col("meta").alias("ma"), F.col("bits").alias("va"))
+    posts = hashed.select("doc", "subject", "s1", "s2", "h").mapInArrow(_postings(df_b, sketch_b, bound, depth, threshold), "key long, doc long, subject long, meta long, bits long")
+    a = posts.where(F.col("meta").bitwiseAND(2) == 2).select("key", F.col("doc").alias("a"), F.col("subject").alias("sa"), F.col("meta").alias("ma"), F.col("bits").alias("va"))
     b = posts.where(F.col("meta").bitwiseAND(1) == 1).select(
         F.col("key").alias("kb"), F.col("doc").alias("b"), F.col("subject").alias("sb"), F.col("meta").alias("mb"), F.col("bits").alias("vb")
     )
-    na, pa_ = F.shiftright("ma", 32), F.shiftright("ma", 1).bitwiseAND((1 << 31) - 1)
-    nb, pb_ = F.shiftright("mb", 32), F.shiftright("mb", 1).bitwiseAND((1 << 31) - 1)
+    na, pa_ = F.shiftright("ma", 32), F.shiftright("ma", 2).bitwiseAND((1 << 30) - 1)
+    nb, pb_ = F.shiftright("mb", 32), F.shiftright("mb", 2).bitwiseAND((1 << 30) - 1)
     meet = (
         (F.col("key") == F.col("kb"))
         & ((nb < na) | ((nb == na) & (F.col("b") < F.col("a"))))
@@ -286,6 +292,19 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     across = pairs.join(x, "class_a", "left").join(y, "class_b", "left").select(F.coalesce("x", "class_a").alias("x"), F.coalesce("y", "class_b").alias("y"))
     m1 = members.select(F.col("doc").alias("x"), F.col("subject").alias("sx"), "s1", "s2")
     m2 = members.select(F.col("doc").alias("y"), F.col("subject").alias("sy"), F.col("s1").alias("z1"), F.col("s2").alias("z2"))
-    same = m1.join(m2, (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")) & (F.col("x") < F.col("y"))
-                   & (F.col("sx").isNull() | F.col("sy").isNull() | (F.col("sx") == F.col("sy")))).select("x", "y")
-    return across.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    alike = (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2"))
+    same = m1.join(m2, alike & (F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y"))).select("x", "y")
+    lone = m1.where("sx IS NULL").join(m2, alike & (F.col("sy").isNotNull() | (F.col("x") < F.col("y")))).select("x", "y")
+    return across.unionByName(same).unionByName(lone).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def linked_classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(doc, class, links): every document with the least id of those that share its subject and its set of words, and the
+    number of other classes whose set is alike and whose subject it may meet. No copies are expanded.
+
+    Rows with a null doc are no documents; repeated rows count once; texts without words are classes of their own without links."""
+    docs = docs.where("doc IS NOT NULL")
+    members, pairs = similar_classes(docs, threshold)
+    links = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    named = docs.select("doc").distinct().join(members.select("doc", "class"), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    return named.join(links, "class", "left").select("doc", "class", F.coalesce("links", F.lit(0)).alias("links"))

@@ -6,11 +6,21 @@ from pyspark.sql import functions as F
 from skerry.sources.tables import table
 
 
+def _memories(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mem_memories").select(F.col("id").alias("doc"), F.col("subject_entity_id").alias("subject"), F.col("content").alias("text"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from skerry.llm.nearest_texts import similar_pairs
 
-    docs = table(spark, d, "mem_memories").select(F.col("id").alias("doc"), F.col("subject_entity_id").alias("subject"), F.col("content").alias("text"))
-    return similar_pairs(docs, 0.75).select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
+    return similar_pairs(_memories(spark, d), 0.75).select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each memory with its class of equal texts about one subject and the number of classes it is linked to."""
+    from skerry.llm.nearest_texts import linked_classes
+
+    return linked_classes(_memories(spark, d), 0.75).select(F.col("doc").alias("memory_id"), F.col("class").alias("class_id"), "links")
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -146,6 +156,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
     "p4_found": p4_found,
@@ -163,8 +174,7 @@ QUERIES = {
     "p8_documents": p8_documents,
 }
 
-ORACLE = {
-    "p1_found": """WITH m AS (SELECT DISTINCT id, subject_entity_id AS s,
+_P1 = """WITH m AS (SELECT DISTINCT id, subject_entity_id AS s,
  list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w
  FROM mem_memories WHERE content IS NOT NULL),
 t AS (SELECT id, s, len(w) AS n, unnest(w) AS tok FROM m),
@@ -174,8 +184,17 @@ c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM r a JOIN r b ON a.tok = b.tok AN
  AND a.p <= a.n - ceil(0.75 * a.n) + 1 AND b.p <= b.n - ceil(0.75 * b.n) + 1
  AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) AND least(a.n - a.p, b.n - b.p) + 1 >= (a.n + b.n) * 3 / 7.0 - 0.000001
  WHERE a.s = b.s OR a.s IS NULL OR b.s IS NULL),
-l AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c JOIN m a ON a.id = x JOIN m b ON b.id = y)
-SELECT x AS memory_id_a, y AS memory_id_b FROM l WHERE 4 * i >= 3 * (n - i)""",
+l AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c JOIN m a ON a.id = x JOIN m b ON b.id = y),
+p AS (SELECT x, y FROM l WHERE 4 * i >= 3 * (n - i))
+"""
+
+ORACLE = {
+    "p1_found": _P1 + "SELECT x AS memory_id_a, y AS memory_id_b FROM p",
+    "p1_classes": _P1.rstrip() + """,
+k AS (SELECT id, CASE WHEN len(w) = 0 THEN id ELSE min(id) OVER (PARTITION BY s, list_sort(w)) END AS c FROM m),
+e AS (SELECT DISTINCT a.c AS c, b.c AS o FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p) q JOIN k a ON a.id = q.x JOIN k b ON b.id = q.y WHERE a.c <> b.c)
+SELECT i.id AS memory_id, coalesce(k.c, i.id) AS class_id, count(e.o) AS links
+FROM (SELECT DISTINCT id FROM mem_memories WHERE id IS NOT NULL) i LEFT JOIN k ON k.id = i.id LEFT JOIN e ON e.c = k.c GROUP BY i.id, coalesce(k.c, i.id)""",
     "p6_complete": """SELECT window_name, count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_without_need
 FROM documents CROSS JOIN (SELECT DISTINCT window_name, capacity_tokens FROM pack_windows WHERE capacity_tokens > 0) w GROUP BY window_name""",
     "p7_kept": """SELECT DISTINCT mix_name, source, CAST(0 AS BIGINT) AS too_often, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS elsewhere

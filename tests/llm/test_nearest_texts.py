@@ -48,6 +48,32 @@ def test_equals_brute_force(spark, monkeypatch, threshold, cost, vocab):
     assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
 
 
+def test_a_text_under_many_subjects(spark, monkeypatch):
+    """A frequent triple is split by subject; those without one still meet all others."""
+    monkeypatch.setattr(N, "MIN_COST", 1)
+    words_ = [f"t{i}" for i in range(12)]
+    rows = [(i, None if i % 7 == 0 else i % 20, " ".join([*words_, f"own{i % 3}"])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc long, subject long, text string")
+    assert {(r.a, r.b) for r in N.similar_pairs(df).collect()} == brute(rows, 0.75)
+
+
+def test_classes(spark):
+    rows = [*corpus(9, 60, 30), (90, 1, None), (91, 1, "..."), (92, None, "..."), (93, None, "p q r s"), (94, 1, "s r q p"), (95, 2, "p q r s"), (96, 1, "P q r s"), (97, None, "s p q r")]
+    df = spark.createDataFrame([*rows, rows[0]], "doc long, subject long, text string").selectExpr("*", "1 AS class", "2 AS links")
+    got = {r.doc: (r["class"], r.links) for r in N.linked_classes(df).collect()}
+    kind = lambda r: (r[1], frozenset(words(r[2]))) if words(r[2]) else r[0]
+    name = {}
+    for r in rows:
+        name.setdefault(kind(r), r[0])
+    of = {r[0]: name[kind(r)] for r in rows}
+    near = {}
+    for a, b in brute(rows, 0.75):
+        if of[a] != of[b]:
+            near.setdefault(of[a], set()).add(of[b])
+            near.setdefault(of[b], set()).add(of[a])
+    assert got == {d: (c, len(near.get(c, ()))) for d, c in of.items()}
+
+
 def test_odd_rows(spark):
     """Null and empty texts match nothing, null ids and redelivered rows do not count, extra columns do no harm; copies are pairs."""
     long = " ".join(f"t{i}" for i in range(5000))
