@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions.text import SECRETS, SENSITIVE
+
 TARGET, HARD = 400, 500
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+)$")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -114,3 +117,72 @@ def strip_spans(text: Column, tag: str = "private") -> Column:
 def strip_fenced_blocks(text: Column, name: str = "memory") -> Column:
     """Text without blocks fenced by <name-NONCE> and </name-NONCE> of the same nonce."""
     return F.regexp_replace(text, rf"(?s)<{name}-([0-9a-f]+)>.*?</{name}-\1>", "")
+
+
+_RULES = [(re.compile(form), label) for form, label in SECRETS]
+_NAMED = re.compile("(?:" + "|".join(w.replace(" ", "[_-]?") for w in SENSITIVE) + "|authorization|(?<![a-z])auth)$", re.I)
+
+
+def scrub_value(value):
+    """A JSON value without secrets, at any depth: strings by the rules, and whatever is held by a sensitive name."""
+    if isinstance(value, dict):
+        plain = lambda v: isinstance(v, (str, int, float)) and not isinstance(v, bool) and v != ""
+        return {k: "[REDACTED:credential]" if plain(v) and _NAMED.search(k) else scrub_value(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [scrub_value(v) for v in value]
+    if isinstance(value, str):
+        for rule, label in _RULES:
+            value = rule.sub(label, value)
+    return value
+
+
+def scrub_json(df: DataFrame, column: str) -> DataFrame:
+    """df with the JSON texts of a column scrubbed at any depth; null stays null, broken JSON is scrubbed as plain text."""
+    at = df.columns.index(column)
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(scrub_value(json.loads(text)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return scrub_value(text)
+
+    def run(batches):
+        for b in batches:
+            yield b.set_column(at, column, pa.array([one(t) for t in b.column(at).to_pylist()], pa.string()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def page_pieces(text: str, most: int = 4000) -> list[tuple[str, str]]:
+    """(heading, body) of a page: a part for each second-level heading, too long ones cut before the paragraph that would pass most."""
+    out = []
+    for part in re.split(r"(?m)^(?=## )", text.replace("\r\n", "\n")):
+        body = part.strip()
+        if not body:
+            continue
+        head = body.split("\n", 1)[0][3:].strip() if body.startswith("## ") else ""
+        held: list[str] = []
+        size = 0
+        for para in body.split("\n\n") if len(body) > most else [body]:
+            if held and size + len(para) > most:
+                out.append((head, "\n\n".join(held)))
+                held, size = [], 0
+            held.append(para)
+            size += len(para) + 2
+        out.append((head, "\n\n".join(held)))
+    return out or [("", text.strip())]
+
+
+def page_chunks(pages: DataFrame, most: int = 4000) -> DataFrame:
+    """pages (id, content) -> (id, ordinal, heading, content); an empty page is one empty piece, a null one none."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, n, h, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, (h, c) in enumerate(page_pieces(t, most))]
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "ordinal", "heading", "content"])
+
+    return pages.where("content IS NOT NULL").select("id", "content").mapInArrow(run, "id long, ordinal int, heading string, content string")

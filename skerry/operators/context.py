@@ -40,12 +40,13 @@ def pack(items: DataFrame, budget: int = DEFAULT) -> DataFrame:
     return kept.groupBy("reader").applyInPandas(run, "reader string, section string, pos int, id long, used int")
 
 
-def auto_depth(terms: Column, hits: Column, derived: Column, projects: Column, evidence_cue: Column, reasoning_cue: Column, has_query: Column) -> Column:
-    """How much to recall, decided from what a search shows, first matching rule."""
+def auto_depth(terms: Column, hits: Column, derived: Column, projects: Column, evidence_cue: Column, reasoning_cue: Column, has_query: Column, everywhere: Column) -> Column:
+    """How much to recall, decided from what a search shows, first matching rule; everywhere: the search went over all workspaces."""
+    # The nine outcomes.
     return (
         F.when(~has_query, "low:profile_without_query").when(hits == 0, "minimal:no_relevant_hits")
         .when((derived > 0) & evidence_cue, "max:derived_hits_with_evidence_request")
         .when((derived > 0) & (reasoning_cue | (terms >= 18) | (projects >= 2)), "high:derived_hits_need_direct_premises")
         .when(derived > 0, "medium:derived_hits_available").when(evidence_cue | reasoning_cue, "low:explicit_support_only")
-        .when(projects >= 2, "low:cross_workspace_explicit_hits").when((hits <= 8) & (terms <= 10), "minimal:narrow_explicit_lookup").otherwise("low:general_explicit_hits")
+        .when(everywhere & (projects >= 2), "low:cross_workspace_explicit_hits").when((hits <= 8) & (terms <= 10), "minimal:narrow_explicit_lookup").otherwise("low:general_explicit_hits")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import words
+from skerry.functions.text import stem, words
 from skerry.functions.vector import cosine_distance, literal
 
 RRF, DOC_LEG, MEMORY_LEG = 60, 50, 30
@@ -35,15 +35,26 @@ def ranked(df: DataFrame, order: list[Column], by: Column, keys: list[str], dept
     return top.select(*keys, F.rank().over(Window.orderBy(by)).alias(name))
 
 
-def semantic_leg(items: DataFrame, dist: DataFrame, keys: list[str], depth: int, floor: float | None = None, strict: bool = False) -> DataFrame:
+def semantic_leg(items: DataFrame, dist: DataFrame | None, keys: list[str], depth: int, floor: float | None = None, strict: bool = False) -> DataFrame:
+    """Without distances (there is no query vector) the leg is empty, and the search falls back on words."""
+    if dist is None:
+        return items.select(*keys, F.lit(None).cast("int").alias("srank")).where(F.lit(False))
     near = items.where("vec_id IS NOT NULL").join(dist, "vec_id")
     if floor is not None:
         near = near.where(F.col("dist") < floor if strict else F.col("dist") <= floor)
     return ranked(near.select(*keys, "dist"), [F.col("dist").asc(), *(F.col(k).asc() for k in keys)], F.col("dist").asc(), keys, depth, "srank")
 
 
-def lexical_leg(items: DataFrame, text: Column, terms: list[str], keys: list[str], depth: int) -> DataFrame:
-    hits, score = lexical_score(text, terms)
+def composite_score(text: Column, terms: list[str]) -> tuple[Column, Column]:
+    """(hits, score) where a word counts once as it stands and once by its stem, as in an index that holds both."""
+    toks = words(text)
+    plain, stems = F.lit([t.lower() for t in terms]), F.transform(F.lit([t.lower() for t in terms]), stem)
+    hits = F.size(F.filter(toks, lambda t: F.array_contains(plain, t))) + F.size(F.filter(F.transform(toks, stem), lambda t: F.array_contains(stems, t)))
+    return hits, F.round(F.lit(0.1) * hits / (1.0 + F.log(F.size(toks).cast("double"))), 9)
+
+
+def lexical_leg(items: DataFrame, text: Column, terms: list[str], keys: list[str], depth: int, score=lexical_score) -> DataFrame:
+    hits, score = score(text, terms)
     found = items.select(*keys, hits.alias("hits"), score.alias("lscore")).where("hits > 0")
     return ranked(found, [F.col("lscore").desc(), *(F.col(k).asc() for k in keys)], F.col("lscore").desc(), keys, depth, "lrank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
@@ -37,14 +37,25 @@ def nearest_classes(embeddings: DataFrame, queries: DataFrame, classes: DataFram
 
         def run(batches, block=block):
             qs, qm = block.value
+            held = [(np.empty(0), np.empty(0, np.int64))] * len(qs)  # the best so far of each query
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy().astype(np.int64)
-                dist = np.round(1 - qm @ _matrix(b.column(1)).T, 9)
-                for i in range(len(qs)):
-                    best = np.lexsort((own, dist[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qs[i])), pa.array(own[best]), pa.array(np.abs(dist[i][best]))], names=["q", "vec_id", "dist"])
+                for at in range(0, b.num_rows, BLOCK):
+                    part = b.slice(at, BLOCK)
+                    own = part.column(0).to_numpy().astype(np.int64)
+                    dist = np.round(1 - qm @ _matrix(part.column(1)).T, 9)
+                    last = min(k, dist.shape[1]) - 1
+                    near, at_col = np.nonzero(dist <= np.partition(dist, last, axis=1)[:, last, None])  # ties with the k-th too
+                    ends = np.searchsorted(near, np.arange(len(qs) + 1))
+                    for i in range(len(qs)):
+                        cols = at_col[ends[i] : ends[i + 1]]
+                        d, v = np.concatenate([held[i][0], dist[i, cols]]), np.concatenate([held[i][1], own[cols]])
+                        best = np.lexsort((v, d))[:k]
+                        held[i] = d[best], v[best]
+            sizes = [len(d) for d, _ in held]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qs, sizes)), pa.array(np.concatenate([v for _, v in held])), pa.array(np.abs(np.concatenate([d for d, _ in held])))], names=["q", "vec_id", "dist"]
+                )
 
         one = data.mapInArrow(run, "q long, vec_id long, dist double")
         found = one if found is None else found.unionByName(one)
@@ -76,3 +87,16 @@ def similar_vectors(vectors: DataFrame, threshold: float, block: int = BLOCK) ->
         return pa.table({"a": pa.array(np.minimum(a, b)[keep]), "b": pa.array(np.maximum(a, b)[keep]), "dist": pa.array(dist[i, j][keep])})
 
     return dealt.groupBy("lo", "hi").applyInArrow(run, "a long, b long, dist double")
+
+
+def nearest_rows(embeddings: DataFrame, questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """questions (query_id, q), rows (id, vec_id) -> (query_id, id, dist, pos): the k rows nearest to each question's vector, ties by
+    id, the row that has the question's own id left out.
+
+    Of the rows that share a vector only the first k + 1 can be among them, so a vector that holds a third of all
+    rows is cut before anything is joined."""
+    heads = rows.where("vec_id IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+    near = nearest_classes(embeddings, questions.select("q").where("q IS NOT NULL").distinct(), rows.select("vec_id").distinct(), k + 1)
+    met = questions.select("query_id", "q").join(near, "q").join(heads.select("id", "vec_id"), "vec_id").where("id <> query_id")
+    first = Window.partitionBy("query_id").orderBy("dist", "id")
+    return met.select("query_id", "id", "dist").withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= k)

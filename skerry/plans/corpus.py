@@ -42,10 +42,14 @@ def doc_status(spark, d):
     return p.groupBy("source").agg(*(F.count_if(F.col("action") == a).alias(s) for a, s in state.items()))
 
 
+#: Bytes a file may have, and bytes after which a session is worth extracting again.
+LARGEST, STEP = 600_000, 10 * 1024 * 1024
+
+
 def file_admission(spark, d):
     """Files too large or empty are left out, with the reason; the rest goes on."""
     t = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
-    return t.select("doc_id", F.when(F.coalesce("n_bytes", F.lit(0)) == 0, "empty").when(F.col("n_bytes") > 20000, "too large").otherwise("admitted").alias("decision"))
+    return t.select("doc_id", F.when(F.coalesce("n_bytes", F.lit(0)) == 0, "empty").when(F.col("n_bytes") > LARGEST, "too large").otherwise("admitted").alias("decision"))
 
 
 IGNORED = ["docs/adr/", "*/README.md", "docs/*/salty-*"]
@@ -79,7 +83,8 @@ def chunk_sizes(spark, d):
 
 def redact(spark, d):
     """Documents with secrets replaced (one is planted in each, so that every rule has work)."""
-    plant = F.element_at(F.array(F.lit(" token = 'abcd1234efgh'"), F.lit(" ghp_" + "a1" * 18), F.lit(" https://bob:hunter22@host/x"), F.lit(" AKIA" + "Z" * 16), F.lit(" password: swordfish99")), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    secrets = [" token = 'abcd1234efgh'", " ghp_" + "a1" * 18, " https://bob:hunter22@host/x", " AKIA" + "Z" * 16, " password: swordfish99", " curl -u bob:swordfish99 x", ' {"auth": "Ym9iOnN3b3JkZmlzaA=="}', " PGPASSWORD=abcd"]
+    plant = F.element_at(F.array(*map(F.lit, secrets)), (F.pmod("doc_id", F.lit(len(secrets))) + 1).cast("int"))
     t = table(spark, d, "documents").select("doc_id", F.concat("text", plant).alias("text"))
     return t.select("doc_id", X.scrub(F.col("text")).alias("text"))
 
@@ -98,6 +103,17 @@ def context_safe(spark, d):
     return m.select("id", X.context_safe(F.concat(F.lit("<system>"), "content", F.lit("</system>‮\x07"))).alias("content"))
 
 
+def page_chunks(spark, d):
+    return K.page_chunks(table(spark, d, "mem_memories").dropDuplicates(["id"]).select("id", "content"))
+
+
+def scrub_metadata(spark, d):
+    """Memories' metadata with secrets taken out at any depth; one is planted under a sensitive name and one inside a text."""
+    m = table(spark, d, "mem_memories").dropDuplicates(["id"])
+    planted = F.concat(F.lit('{"held": '), F.coalesce("metadata", F.lit("null")), F.lit(', "db": {"PASSWORD": "hunter22", "max_tokens": 5}, "log": ["curl -u bob:swordfish x"]}'))
+    return K.scrub_json(m.select("id", planted.alias("metadata")), "metadata")
+
+
 def transcripts(spark, d):
     """Of each session the last 60 000 characters of its turns, each turn cut at 2000: a running sum from the end finds the turns needed."""
     s = table(spark, d, "mem_sources").dropDuplicates(["id"]).where("session_id IS NOT NULL AND excerpt IS NOT NULL AND source_type IN ('user_message', 'assistant_inference')")
@@ -109,13 +125,13 @@ def transcripts(spark, d):
 
 
 def capture_queue(spark, d):
-    """Sessions worth extracting again: the key grows a step for every ten thousand characters, each key once."""
+    """Sessions worth extracting again: the key grows a step for every ten megabytes, each key once."""
     s = table(spark, d, "mem_sources").dropDuplicates(["id"]).where("session_id IS NOT NULL")
-    n = s.groupBy("session_id").agg(F.coalesce(F.sum(F.char_length("excerpt")), F.lit(0)).alias("size"))
-    return n.select("session_id", F.concat_ws("#", "session_id", F.floor(F.col("size") / 10000).cast("string")).alias("done_key"))
+    n = s.groupBy("session_id").agg(F.coalesce(F.sum(F.octet_length("excerpt")), F.lit(0)).alias("size"))
+    return n.select("session_id", F.concat_ws("#", "session_id", F.floor(F.col("size") / STEP).cast("string")).alias("done_key"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_plan, hash_guard, doc_status, file_admission, ignored_paths, doc_types, approx_tokens, chunk_md, chunk_sizes, redact, strip_private, context_safe, transcripts, capture_queue)}
+QUERIES = {f.__name__: f for f in (ingest_plan, hash_guard, doc_status, file_admission, ignored_paths, doc_types, approx_tokens, chunk_md, chunk_sizes, redact, strip_private, context_safe, page_chunks, scrub_metadata, transcripts, capture_queue)}
 
 _D = """disk AS (SELECT source, path, max_by(content_hash, doc_id) AS hash, max(doc_id) AS doc_id FROM documents GROUP BY 1, 2),
 known AS (SELECT source, path, CASE WHEN doc_id % 7 = 0 THEN reverse(hash) ELSE hash END AS hash FROM disk WHERE doc_id % 10 <> 0 UNION ALL SELECT 'harbor-core', 'gone/' || i || '.md', 'x' FROM range(5) t(i)),
@@ -125,7 +141,7 @@ ORACLE = {
     "ingest_plan": f"WITH {_D} SELECT * FROM plan",
     "hash_guard": f"WITH {_D}, a AS (SELECT source, path, hash FROM known), b AS (SELECT source, path, hash FROM disk) SELECT *, 'lost' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'new' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "doc_status": f"WITH {_D} SELECT source, count(*) FILTER (WHERE action = 'keep') AS fresh, count(*) FILTER (WHERE action = 'replace') AS stale, count(*) FILTER (WHERE action = 'add') AS unindexed, count(*) FILTER (WHERE action = 'remove') AS missing FROM plan GROUP BY 1",
-    "file_admission": "SELECT doc_id, CASE WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 'empty' WHEN octet_length(encode(text)) > 20000 THEN 'too large' ELSE 'admitted' END AS decision FROM documents",
+    "file_admission": "SELECT doc_id, CASE WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 'empty' WHEN octet_length(encode(text)) > 600000 THEN 'too large' ELSE 'admitted' END AS decision FROM documents",
     "ignored_paths": "SELECT doc_id, path FROM documents WHERE path LIKE 'docs/adr/%' OR path LIKE '%/README.md' OR path LIKE 'docs/%/salty-%'",
     "doc_types": """SELECT doc_id, CASE WHEN starts_with(b, 'readme') THEN 'readme' WHEN contains(p, 'runbook') OR contains(p, 'playbook') OR contains(b, 'release') THEN 'runbook' WHEN contains(p, '/adr') OR starts_with(b, 'adr') THEN 'adr' WHEN contains(p, 'plan') OR contains(p, 'spec') OR contains(b, 'design') THEN 'spec' ELSE 'note' END AS doc_type,
 CASE WHEN h <> '' THEN h ELSE regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') END AS title
@@ -136,5 +152,5 @@ SELECT doc_id, length(text) AS n, CASE WHEN length(l) > 0 THEN length(regexp_rep
     "transcripts": """WITH s AS (SELECT DISTINCT * FROM mem_sources WHERE session_id IS NOT NULL AND excerpt IS NOT NULL AND source_type IN ('user_message', 'assistant_inference')),
 t AS (SELECT session_id, id, created_at, left(excerpt, 2000) AS turn, coalesce(sum(length(left(excerpt, 2000)) + 1) OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM s)
 SELECT session_id, count(*) AS turns, md5(right(string_agg(turn, chr(10) ORDER BY created_at, id), 60000)) AS digest FROM t WHERE later < 60000 GROUP BY 1""",
-    "capture_queue": "SELECT session_id, session_id || '#' || CAST(floor(coalesce(sum(length(excerpt)), 0) / 10000) AS BIGINT) AS done_key FROM (SELECT DISTINCT * FROM mem_sources WHERE session_id IS NOT NULL) GROUP BY 1",
+    "capture_queue": "SELECT session_id, session_id || '#' || CAST(floor(coalesce(sum(octet_length(encode(excerpt))), 0) / 10485760) AS BIGINT) AS done_key FROM (SELECT DISTINCT * FROM mem_sources WHERE session_id IS NOT NULL) GROUP BY 1",
 }

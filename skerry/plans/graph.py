@@ -35,12 +35,12 @@ def perspective_filter(spark, d):
 
 
 def perspective_routes(spark, d):
-    """Hits grouped by perspective: first rank, then most hits, then the busiest peer; three routes, eight ids each."""
+    """Hits grouped by perspective: first rank; three routes, eight ids each."""
     hits = V.active(V.memories(spark, d), READER, PROJECTS, NOW).orderBy(F.col("importance").desc_nulls_last(), F.col("created_at").desc(), F.col("id").desc()).limit(40)
     w = Window.orderBy(F.col("importance").desc_nulls_last(), F.col("created_at").desc(), F.col("id").desc())
     ranked = hits.withColumn("rank", F.row_number().over(w))
     by = ranked.groupBy("observer_entity_id", "observed_entity_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("hits"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]), 1, 8).alias("ids"))
-    return by.orderBy("first_rank", F.col("hits").desc()).limit(3)
+    return by.orderBy("first_rank").limit(3)  # a rank stands in one route only, so the order is total
 
 
 def evidence_edges(spark, d):
@@ -76,10 +76,9 @@ def cycle_check(spark, d):
 
 
 def cycle_guard(spark, d):
-    """Of a fifth of the edges, those of id % 10 = 0 turned round and those of id % 10 = 5 as they are: would it close a cycle?"""
+    """Every edge proposed again, as it is and turned round: would it close a cycle?"""
     e = edges(spark, d)
-    new = e.where("id % 10 = 0").select(F.col("derived").alias("evidence"), F.col("evidence").alias("derived"))
-    mixed = new.unionByName(e.where("id % 10 = 5").select("evidence", "derived"))
+    mixed = e.select(F.col("derived").alias("evidence"), F.col("evidence").alias("derived")).unionByName(e.select("evidence", "derived"))
     return E.would_cycle(e, mixed)
 
 
@@ -142,7 +141,7 @@ FROM vis v JOIN mem_entities a ON a.id = observer_entity_id JOIN mem_entities b
     "perspective_filter": f"WITH {M} SELECT id FROM vis WHERE observer_entity_id IN (SELECT id FROM mem_entities WHERE lower(canonical_name) = 'e3')",
     "perspective_routes": f"""WITH {M}, h AS (SELECT *, row_number() OVER (ORDER BY importance DESC NULLS LAST, created_at DESC, id DESC) AS rank FROM act),
 g AS (SELECT observer_entity_id, observed_entity_id, min(rank) AS first_rank, count(*) AS hits, list(id ORDER BY rank)[1:8] AS ids FROM h WHERE rank <= 40 GROUP BY 1, 2)
-SELECT * FROM g ORDER BY first_rank, hits DESC LIMIT 3""",
+SELECT * FROM g ORDER BY first_rank LIMIT 3""",
     "evidence_edges": f"WITH {M} SELECT id, derived, evidence, relation FROM e WHERE derived IN (SELECT id FROM vis) AND evidence IN (SELECT id FROM vis) ORDER BY created_at, id LIMIT 200",
     "evidence_walk": f"""WITH RECURSIVE {M}, w AS (SELECT evidence AS node, derived AS root, derived AS target, relation, 1 AS depth, [derived, evidence] AS path FROM e
  UNION ALL SELECT e.evidence, w.root, e.derived, e.relation, w.depth + 1, list_append(w.path, e.evidence) FROM w JOIN e ON e.derived = w.node WHERE w.depth < 8 AND w.relation <> 'contradicts' AND NOT list_contains(w.path, e.evidence)),
@@ -154,7 +153,7 @@ SELECT node AS memory_id, CAST(depth AS INTEGER) AS depth, CAST(n_roots AS INTEG
     "cycle_check": """WITH RECURSIVE r AS (SELECT DISTINCT src_component_id AS s, dst_component_id AS d FROM relationships), t AS (SELECT s, d FROM r UNION SELECT t.s, r.d FROM t JOIN r ON r.s = t.d),
 c AS (SELECT DISTINCT s AS n FROM t WHERE s = d) SELECT DISTINCT d AS component_id FROM t WHERE s IN (SELECT n FROM c)""",
     "cycle_guard": """WITH RECURSIVE e AS (SELECT DISTINCT id, evidence_memory_id AS f, derived_memory_id AS t FROM mem_derivations),
-n AS (SELECT DISTINCT t AS evidence, f AS derived FROM e WHERE id % 10 = 0 UNION SELECT f, t FROM e WHERE id % 10 = 5),
+n AS (SELECT DISTINCT t AS evidence, f AS derived FROM e UNION SELECT f, t FROM e),
 r AS (SELECT evidence, derived, derived AS spot FROM n UNION SELECT r.evidence, r.derived, e.t FROM r JOIN e ON e.f = r.spot)
 SELECT evidence, derived, bool_or(spot = evidence) AS closes FROM r GROUP BY 1, 2""",
     "similar_pairs": f"WITH {_C} SELECT a AS vec_a, b AS vec_b, round(dist, 6) AS dist, n_a, n_b FROM p",

@@ -42,13 +42,13 @@ def component_resolve(spark, d):
 
 
 def hop_expand(spark, d):
-    r = P.resolve(paths(spark, d).where("path LIKE 'docs/%'"), comps(spark, d))
+    r = P.resolve(paths(spark, d), comps(spark, d))
     return P.neighbours(r.select("repo", "component_id"), rels(spark, d), comps(spark, d))
 
 
 def constraint_select(spark, d):
-    """Rules that govern a change to the document pages of a scope, the strictest first."""
-    touched = paths(spark, d).where("path LIKE 'docs/%'")
+    """Rules that govern a change to the files of a scope, the strictest first."""
+    touched = paths(spark, d)
     direct = P.resolve(touched, comps(spark, d)).select("repo", "component_id")
     near = P.neighbours(direct, rels(spark, d), comps(spark, d))
     rules = constraints(spark, d)
@@ -156,11 +156,11 @@ gx AS (SELECT *, '^' || replace(replace(regexp_replace(regexp_replace(replace(re
 hit AS (SELECT p.repo, p.path, component_id, slug, priority, gl FROM paths p JOIN gx ON gx.repo = p.repo AND regexp_matches(p.path, gx.rx)),
 res AS (SELECT repo, path, component_id, slug, row_number() OVER (PARTITION BY repo, path ORDER BY max(sp) DESC, coalesce(priority, 0) DESC, slug, component_id) AS pos
  FROM (SELECT *, (CASE WHEN regexp_matches(gl, '[*?]') THEN 0 ELSE 1 END) * 100000 + length(regexp_replace(gl, '[*?]', '', 'g')) AS sp FROM hit) GROUP BY repo, path, component_id, slug, priority),
-direct AS (SELECT DISTINCT repo, component_id FROM res WHERE path LIKE 'docs/%'),
+direct AS (SELECT DISTINCT repo, component_id FROM res),
 both_ AS (SELECT s, t FROM r UNION SELECT t, s FROM r),
 near AS (SELECT repo, component_id, 'direct' AS via FROM direct UNION ALL SELECT repo, component_id, 'graph' FROM (SELECT d.repo, b.t AS component_id FROM direct d JOIN both_ b ON b.s = d.component_id JOIN c x ON x.id = b.s JOIN c y ON y.id = b.t AND y.repo = x.repo EXCEPT SELECT * FROM direct)),
 rules AS (SELECT id AS rule_id, CASE WHEN id % 7 = 0 THEN 'harbor-core' ELSE repo END AS repo, CASE WHEN id % 5 = 0 THEN 'global' WHEN id % 33 = 0 THEN 'odd' ELSE 'component' END AS scope, CASE WHEN id % 21 <> 0 THEN id END AS component_id, 'rule ' || slug AS title, CASE id % 4 WHEN 0 THEN 'must' WHEN 1 THEN 'should' ELSE 'info' END AS severity FROM c WHERE id % 3 = 0 OR id % 5 = 0),
-sel AS (SELECT u.repo, rule_id, severity, title, via FROM rules u JOIN near n ON n.repo = u.repo AND n.component_id = u.component_id WHERE scope = 'component' UNION ALL SELECT repo, rule_id, severity, title, 'global' FROM rules WHERE scope = 'global' AND repo IN (SELECT repo FROM paths WHERE path LIKE 'docs/%')),
+sel AS (SELECT u.repo, rule_id, severity, title, via FROM rules u JOIN near n ON n.repo = u.repo AND n.component_id = u.component_id WHERE scope = 'component' UNION ALL SELECT repo, rule_id, severity, title, 'global' FROM rules WHERE scope = 'global' AND repo IN (SELECT repo FROM paths)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE severity WHEN 'must' THEN 0 WHEN 'should' THEN 1 ELSE 2 END, via <> 'global', via <> 'direct', title, rule_id) AS pos FROM sel),
 mapped AS (SELECT DISTINCT component_id AS id, repo FROM g),
 dirs AS (SELECT DISTINCT repo, dir FROM (SELECT repo, trim(CASE WHEN regexp_matches(gl, '[*?]') THEN regexp_replace(regexp_extract(regexp_extract(gl, '^[^*?]*'), '^(.*/)?'), '/$', '') ELSE regexp_replace(gl, '/?[^/]*$', '') END, '/') AS dir FROM g) WHERE dir <> '')"""

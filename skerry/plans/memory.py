@@ -13,7 +13,8 @@ from skerry.sources.tables import table
 
 NOW, READER, PROJECTS, PROJECT = "2024-06-01 00:00:00", "u1", ["p1", "p2"], "p1"
 TERMS = ["migration", "snapshot", "limit", "pillar"]
-MAXDIST = 0.75
+#: Farthest a semantic hit may be, and a hit by words alone.
+MAXDIST, LEXDIST = 0.75, 0.85
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -37,18 +38,20 @@ def mem_all_visible(spark, d):
     return V.visible(_all(spark, d), READER, PROJECTS).groupBy("status", "scope").agg(F.count("*").alias("n"))
 
 
-def search_memories(pool: DataFrame, embeddings: DataFrame, query, live: DataFrame, terms, k: int, maxdist: float = MAXDIST) -> DataFrame:
+def search_memories(pool: DataFrame, embeddings: DataFrame, query, live: DataFrame, terms, k: int, maxdist: float = MAXDIST, lexdist: float = LEXDIST) -> DataFrame:
     """Fused search with abstention: a semantic hit must be near enough, a lexical one at least plausible, a derived one
-    must stand on live premises. Equal scores fall to importance, recency, age and id."""
+    must stand on live premises. Equal scores fall to importance and recency taken together (a row of the last thirty days
+    counts as much as full importance), then importance, age and id."""
     dist = S.distances(embeddings, query)
     sem = S.semantic_leg(pool, dist, ["id"], S.MEMORY_LEG, maxdist, strict=True)
     lex = S.lexical_leg(pool, F.concat_ws(" ", "title", "content"), terms, ["id"], S.MEMORY_LEG)
     hits = S.fuse(sem, lex, ["id"]).join(pool.select("id", "vec_id", "importance", "created_at", "reasoning_level"), "id").join(dist, "vec_id", "left")
-    hits = hits.where("srank IS NOT NULL OR vec_id IS NULL OR dist < %s" % maxdist)
+    hits = hits.where("srank IS NOT NULL OR vec_id IS NULL OR dist < %s" % lexdist)
     explicit = F.coalesce("reasoning_level", F.lit("explicit")) == "explicit"
     ok = hits.join(live.where("live").select(F.col("derived").alias("id"), F.lit(True).alias("live")), "id", "left").where(explicit | F.coalesce("live", F.lit(False)))
     recent = F.col("created_at") > V.at(NOW) - F.expr("INTERVAL 30 DAYS")
-    order = [F.col("score").desc(), F.col("importance").desc_nulls_last(), recent.desc(), F.col("created_at").desc(), F.col("id").desc()]
+    lift = F.round(F.coalesce("importance", F.lit(0.0)) + recent.cast("int"), 9)
+    order = [F.col("score").desc(), lift.desc(), F.col("importance").desc_nulls_last(), F.col("created_at").desc(), F.col("id").desc()]
     return ok.orderBy(*order).limit(k).select("id", "srank", "lrank", "score", F.coalesce("reasoning_level", F.lit("explicit")).alias("reasoning_level"))
 
 
@@ -85,11 +88,11 @@ def mem_nearest(spark, d):
 
 
 def mem_timeline(spark, d):
-    """Three rows before and after each anchor (every id divisible by 500) in the reader's history."""
+    """Three rows before and after each anchor (every id divisible by 100) in the reader's history."""
     m = V.visible(_all(spark, d), READER, PROJECTS)
     w = Window.partitionBy("author").orderBy("created_at", "id")
     r = m.select("id", "author", "created_at").withColumn("n", F.row_number().over(w))
-    a = r.where("id % 500 = 0").select(F.col("id").alias("anchor"), F.col("author").alias("a"), F.col("n").alias("at"))
+    a = r.where("id % 100 = 0").select(F.col("id").alias("anchor"), F.col("author").alias("a"), F.col("n").alias("at"))
     near = a.select("anchor", "a", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3)).alias("k"), "at")
     return near.join(r, (near.a == r.author) & (near.k == r.n)).select("anchor", "id", (F.col("k") - F.col("at")).cast("int").alias("step"))
 
@@ -170,12 +173,15 @@ def peer_cards(spark, d):
     ends = m.withColumn("peer", F.explode(F.array_distinct(F.array("observer_entity_id", "observed_entity_id")))).where("peer IS NOT NULL")
     w = Window.partitionBy("author", "peer").orderBy(F.col("created_at").desc(), F.col("id").desc())
     types = ends.groupBy("author", "peer", "memory_type").agg(F.count("*").alias("n")).groupBy("author", "peer").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "memory_type", F.col("n").cast("string")))), ",").alias("memory_types"))
-    main = ends.withColumn("k", F.row_number().over(w)).groupBy("author", "peer").agg(
+    # the twelve latest by a window that keeps no more, the counts without one
+    latest = ends.select("author", "peer", "id", "created_at").withColumn("k", F.row_number().over(w)).where("k <= 12")
+    latest = latest.groupBy("author", "peer").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda s: s["id"]).alias("recent_memory_ids"))
+    main = ends.groupBy("author", "peer").agg(
         F.count("*").alias("active_count"), F.count_if(F.col("observer_entity_id") == F.col("peer")).alias("observer_count"), F.count_if(F.col("observed_entity_id") == F.col("peer")).alias("observed_count"),
-        F.sort_array(F.collect_set("project")).alias("projects"), F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= 12, F.struct("k", "id")))), lambda s: s["id"]).alias("recent_memory_ids"),
+        F.sort_array(F.collect_set("project")).alias("projects"),
         F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"),
     )
-    return main.join(types, ["author", "peer"])
+    return main.join(types, ["author", "peer"]).join(latest, ["author", "peer"])
 
 
 def alias_match(spark, d):
@@ -214,8 +220,8 @@ lsc AS (SELECT id, round(0.1::DOUBLE * len(list_filter(w, lambda x: x IN ('migra
 lex AS (SELECT id, rank() OVER (ORDER BY lscore DESC) AS lrank FROM (SELECT * FROM lsc ORDER BY lscore DESC, id LIMIT 30)),
 f AS (SELECT id, srank, lrank, round(coalesce(1::DOUBLE / (60 + srank), 0) + coalesce(1::DOUBLE / (60 + lrank), 0), 9) AS score FROM sem FULL JOIN lex USING (id))
 SELECT f.id, srank, lrank, score, coalesce(reasoning_level, 'explicit') AS reasoning_level FROM f JOIN pool USING (id) LEFT JOIN dist USING (vec_id) LEFT JOIN live ON live.derived = f.id
-WHERE (srank IS NOT NULL OR pool.vec_id IS NULL OR dist < {MAXDIST}) AND ({_EXPL} OR live.live)
-ORDER BY score DESC, importance DESC NULLS LAST, created_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAYS DESC, created_at DESC, f.id DESC LIMIT 20""",
+WHERE (srank IS NOT NULL OR pool.vec_id IS NULL OR dist < {LEXDIST}) AND ({_EXPL} OR live.live)
+ORDER BY score DESC, round(coalesce(importance, 0) + CASE WHEN created_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAYS THEN 1 ELSE 0 END, 9) DESC, importance DESC NULLS LAST, created_at DESC, f.id DESC LIMIT 20""",
     "mem_as_of": f"WITH {M} SELECT id, status FROM vis WHERE created_at <= TIMESTAMP '2023-12-01' AND (retired_at IS NULL OR retired_at > TIMESTAMP '2023-12-01')",
     "mem_nearest": f"""WITH {M}, c AS (SELECT vec_id, min(id) AS first_id, count(*) AS members FROM act WHERE kind IS DISTINCT FROM 'page' AND vec_id IS NOT NULL GROUP BY 1),
 q AS (SELECT id AS query_id, vec_id AS q FROM m WHERE id % 100 = 0 AND vec_id IS NOT NULL),
@@ -224,7 +230,7 @@ x AS (SELECT qq.q, c.vec_id, {DIST.format(a="va.a", b="vb.a")} AS dist FROM (SEL
 b AS (SELECT q, vec_id, abs(dist) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, vec_id) AS n FROM x) WHERE n = 1)
 SELECT query_id, first_id AS nearest_id, dist, members FROM q JOIN b USING (q) JOIN c USING (vec_id)""",
     "mem_timeline": f"""WITH {M}, r AS (SELECT id, author, row_number() OVER (PARTITION BY author ORDER BY created_at, id) AS n FROM vis)
-SELECT a.id AS anchor, b.id, CAST(b.n - a.n AS INTEGER) AS step FROM r a JOIN r b ON a.author = b.author AND b.n BETWEEN a.n - 3 AND a.n + 3 WHERE a.id % 500 = 0""",
+SELECT a.id AS anchor, b.id, CAST(b.n - a.n AS INTEGER) AS step FROM r a JOIN r b ON a.author = b.author AND b.n BETWEEN a.n - 3 AND a.n + 3 WHERE a.id % 100 = 0""",
     "mem_page": f"WITH {M} SELECT id, created_at FROM vis WHERE (created_at, id) < (TIMESTAMP '2023-10-01', 1000000000) ORDER BY created_at DESC, id DESC LIMIT 25",
     "mem_stale": f"WITH {M} SELECT id, CAST(floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(created_at))) / 86400) AS BIGINT) AS age_days FROM act WHERE created_at < {_OLD} AND memory_type IN ('semantic', 'episodic', 'prospective') AND kind IS DISTINCT FROM 'page' AND (last_accessed_at IS NULL OR last_accessed_at < {_OLD})",
     "mem_profile": f"""WITH {M}, a AS (SELECT * FROM act WHERE kind IS DISTINCT FROM 'page' AND {_EXPL}),

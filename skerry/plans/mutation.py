@@ -19,7 +19,7 @@ def mark_fold(spark, d):
     """Marks taken from the event stream: errors and views retire, purchases and sign-ups bring back."""
     e = table(spark, d, "events").where("event_type IN ('error', 'view', 'purchase', 'signup')")
     status = F.when(F.col("event_type") == "error", "retracted").when(F.col("event_type") == "view", "superseded").otherwise("active")
-    f = O.mark_fold(e.select((F.col("user_id") % 500).alias("id"), "ts", F.col("event_id").alias("seq"), status.alias("status")))
+    f = O.mark_fold(e.select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), status.alias("status")))
     return f.select("id", "status", "retired_at", F.size("intervals").alias("n_intervals"), F.try_element_at("intervals", F.lit(-1))["retired_at"].alias("last_gap"))
 
 
@@ -150,7 +150,7 @@ QUERIES = {f.__name__: f for f in (supersede_fold, mark_fold, review_dedupe, ent
 ORACLE = {
     "supersede_fold": f"""WITH {M}, o AS (SELECT a.id, min(b.created_at) AS at_, min(CASE WHEN b.valid_from >= coalesce(a.valid_from, b.valid_from) THEN b.valid_from END) AS ends FROM m a JOIN m b ON b.supersedes_id = a.id WHERE a.author = b.author AND b.created_at >= a.created_at GROUP BY 1)
 SELECT m.id, CASE WHEN at_ IS NOT NULL AND status = 'active' THEN 'superseded' ELSE status END AS status, coalesce(retired_at, at_) AS retired_at, least(valid_to, ends) AS valid_to FROM m LEFT JOIN o USING (id)""",
-    "mark_fold": """WITH e AS (SELECT user_id % 500 AS id, ts, event_id, CASE event_type WHEN 'error' THEN 'retracted' WHEN 'view' THEN 'superseded' ELSE 'active' END AS status FROM events WHERE event_type IN ('error', 'view', 'purchase', 'signup')),
+    "mark_fold": """WITH e AS (SELECT user_id AS id, ts, event_id, CASE event_type WHEN 'error' THEN 'retracted' WHEN 'view' THEN 'superseded' ELSE 'active' END AS status FROM events WHERE event_type IN ('error', 'view', 'purchase', 'signup')),
 f AS (SELECT *, status = 'active' AS on_, coalesce(lag(status = 'active') OVER w, true) AS was FROM e WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)),
 g AS (SELECT *, max(CASE WHEN was AND NOT on_ THEN ts END) OVER (PARTITION BY id ORDER BY ts, event_id) AS since FROM f)
 SELECT id, max_by(status, (ts, event_id)) AS status, CASE WHEN NOT max_by(on_, (ts, event_id)) THEN max(since) END AS retired_at, CAST(count(*) FILTER (WHERE on_ AND NOT was AND since < ts) AS INTEGER) AS n_intervals, max(since) FILTER (WHERE on_ AND NOT was AND since < ts) AS last_gap FROM g GROUP BY id""",

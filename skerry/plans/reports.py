@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import words
 from skerry.operators import context as C
 from skerry.operators import views as V
 from skerry.plans.memory import M, NOW, PROJECTS, READER, stale
@@ -53,11 +52,13 @@ def latency_stats(spark, d):
     """Median, nearest-rank p90 and maximum of each stage, the first run left out. Exact ranks, not sketches."""
     e = table(spark, d, "events").select("event_type", "value", "event_id")
     first = e.groupBy("event_type").agg(F.min("event_id").alias("first"))
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    r = e.join(first, "event_type").where("event_id <> first").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
-    at = lambda i: F.max(F.when(F.col("k") == i, F.col("value")))
+    # ranks over the distinct values of a stage with their counts: repeats are counted before anything is sorted
+    v = e.join(first, "event_type").where("event_id <> first AND value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("event_type")
+    r = v.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    at = lambda i: F.min(F.when(F.col("upto") >= i, F.col("value")))
     lo, hi = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    return r.groupBy("event_type").agg(F.count("*").alias("n"), ((at(lo) + at(hi)) / 2).alias("median"), at(F.ceil(F.col("n") * 9 / 10)).alias("p90"), F.max("value").alias("max"))
+    return r.groupBy("event_type").agg(F.max("n").alias("n"), ((at(lo) + at(hi)) / 2).alias("median"), at(F.ceil(F.col("n") * 9 / 10)).alias("p90"), F.max("value").alias("max"))
 
 
 def source_mix(spark, d):
@@ -84,42 +85,6 @@ def context_pack(spark, d):
     return C.pack(context_sections(spark, d))
 
 
-def _queries(spark, d):
-    return V.memories(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("q"), F.col("subject_entity_id").alias("s"), F.col("content"))
-
-
-def auto_depth(spark, d):
-    """The depth for every hundredth memory's title as a question, its hits being the reader's active rows of that subject."""
-    q = _queries(spark, d)
-    a = _act(spark, d).select("subject_entity_id", "project", "reasoning_level")
-    h = a.groupBy(F.col("subject_entity_id").alias("s")).agg(F.count("*").alias("hits"), F.count_if(F.col("reasoning_level").isin("deductive", "inductive")).alias("derived"), F.count_distinct("project").alias("projects"))
-    j = q.join(h, "s", "left")
-    low = F.lower(F.coalesce("q", F.lit("")))
-    cue = lambda ws: F.exists(words(low), lambda w: w.isin(ws))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = C.auto_depth(F.size(words(low)), zero("hits"), zero("derived"), zero("projects"), cue(["evidence", "source", "audit", "trace", "proof"]), cue(["why", "how", "compare", "explain", "reason"]), low != "")
-    return j.select("query_id", out.alias("depth"))
-
-
-NEGATION = ["not", "no", "never", "don't", "doesn't", "isn't", "can't", "won't", "без", "нет", "не", "ни", "нельзя"]
-
-
-def novelty_gate(spark, d):
-    """For every hundredth memory: is it said already? Either as a run of whole words inside another active row of its subject,
-    or by a row with the very same vector, the same polarity and the same numbers."""
-    q = _queries(spark, d).join(V.memories(spark, d).select(F.col("id").alias("query_id"), F.col("vec_id").alias("v")), "query_id")
-    a = _act(spark, d).where(V.not_page()).select("id", F.col("subject_entity_id").alias("s"), F.col("vec_id"), F.col("content").alias("held"))
-    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    run = lambda c: F.concat(F.lit(" "), F.regexp_replace(flat(c), r"\.$", ""), F.lit(" "))
-    neg = lambda c: F.exists(F.split(F.lower(c), r"[ .,;:]+"), lambda w: w.isin(NEGATION))
-    nums = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))))
-    near = q.join(a, q.v == a.vec_id).where("id <> query_id")
-    same = near.where((neg(F.col("content")) == neg(F.col("held"))) & (nums(F.col("content")) == nums(F.col("held")))).select("query_id", "id")
-    sub = q.join(a, "s").where("id <> query_id").where(F.contains(run(F.col("held")), run(F.col("content"))) & (neg(F.col("content")) == neg(F.col("held")))).select("query_id", "id")
-    dup = same.union(sub).groupBy("query_id").agg(F.min("id").alias("of"))
-    return q.select("query_id").join(dup, "query_id", "left")
-
-
 def depth_evaluation(spark, d):
     """Overlap of what one depth recalls with what the sources cite, by memory: yield and Jaccard index."""
     e = table(spark, d, "mem_derivations").dropDuplicates(["id"])
@@ -130,7 +95,7 @@ def depth_evaluation(spark, d):
     return j.select("id", F.round(both / F.size("cited"), 6).alias("citation_yield"), F.round(both / either, 6).alias("overlap"), F.size(F.array_except("got", "cited")).alias("extra"))
 
 
-QUERIES = {f.__name__: f for f in (mem_stats, health, scope_near_match, latency_stats, source_mix, context_sections, context_pack, auto_depth, novelty_gate, depth_evaluation)}
+QUERIES = {f.__name__: f for f in (mem_stats, health, scope_near_match, latency_stats, source_mix, context_sections, context_pack, depth_evaluation)}
 
 _OLD = f"TIMESTAMP '{NOW}' - INTERVAL 180 DAYS"
 _STATS = f"""SELECT 'total' AS section, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM m UNION ALL SELECT 'active', NULL, count(*) FROM act UNION ALL SELECT 'type', memory_type, count(*) FROM act GROUP BY 2 UNION ALL SELECT 'project', project, count(*) FROM act GROUP BY 2
@@ -138,11 +103,6 @@ UNION ALL SELECT 'pages', NULL, count(*) FROM act WHERE kind = 'page' UNION ALL
 UNION ALL SELECT 'components', repo, count(DISTINCT id) FROM components GROUP BY 2"""
 _EX = "coalesce(reasoning_level, 'explicit') = 'explicit'"
 _ORD = "importance DESC NULLS LAST, created_at DESC, id DESC"
-_NEG = ", ".join("'" + w.replace("'", "''") + "'" for w in NEGATION)
-_neg = lambda c: f"len(list_filter(regexp_split_to_array(lower({c}), '[ .,;:]+'), lambda w: w IN ({_NEG}))) > 0"
-_num = lambda c: f"list_sort(list_distinct(regexp_extract_all({c}, '[0-9]+')))"
-_run = lambda c: f"' ' || regexp_replace(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'), ' '), '\\.$', '') || ' '"
-_cue = lambda ws: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws) + "))) > 0"
 
 ORACLE = {
     "mem_stats": f"WITH {M} {_STATS}",
@@ -157,13 +117,6 @@ SELECT event_type, CAST(len(v) AS BIGINT) AS n, (v[CAST(floor((len(v) + 1) / 2)
 g AS (SELECT 'global' AS section, 0 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND project IS NULL), p AS (SELECT 'project' AS section, 1 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND project = 'p1'),
 v AS (SELECT 'derived' AS section, 2 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE NOT {_EX})
 SELECT 'u1' AS reader, * FROM (SELECT * FROM g WHERE pos <= 8 UNION ALL SELECT * FROM p WHERE pos <= 20 UNION ALL SELECT * FROM v WHERE pos <= 20)""",
-    "auto_depth": f"""WITH {M}, h AS (SELECT subject_entity_id AS s, count(*) AS hits, count(*) FILTER (WHERE reasoning_level IN ('deductive', 'inductive')) AS derived, count(DISTINCT project) AS projects FROM act GROUP BY 1),
-q AS (SELECT id AS query_id, coalesce(title, '') AS q, subject_entity_id AS s, regexp_extract_all(lower(coalesce(title, '')), '[\\p{{L}}\\p{{N}}_\\-]+') AS w FROM m WHERE id % 100 = 0),
-j AS (SELECT query_id, q, len(w) AS terms, coalesce(hits, 0) AS hits, coalesce(derived, 0) AS derived, coalesce(projects, 0) AS projects, {_cue(["evidence", "source", "audit", "trace", "proof"])} AS ev, {_cue(["why", "how", "compare", "explain", "reason"])} AS re FROM q LEFT JOIN h USING (s))
-SELECT query_id, CASE WHEN q = '' THEN 'low:profile_without_query' WHEN hits = 0 THEN 'minimal:no_relevant_hits' WHEN derived > 0 AND ev THEN 'max:derived_hits_with_evidence_request' WHEN derived > 0 AND (re OR terms >= 18 OR projects >= 2) THEN 'high:derived_hits_need_direct_premises' WHEN derived > 0 THEN 'medium:derived_hits_available' WHEN ev OR re THEN 'low:explicit_support_only' WHEN projects >= 2 THEN 'low:cross_workspace_explicit_hits' WHEN hits <= 8 AND terms <= 10 THEN 'minimal:narrow_explicit_lookup' ELSE 'low:general_explicit_hits' END AS depth FROM j""",
-    "novelty_gate": f"""WITH {M}, q AS (SELECT id AS query_id, subject_entity_id AS s, vec_id AS v, content FROM m WHERE id % 100 = 0), a AS (SELECT id, subject_entity_id AS s, vec_id, content AS held FROM act WHERE kind IS DISTINCT FROM 'page'),
-d AS (SELECT query_id, id FROM q JOIN a ON a.vec_id = q.v AND id <> query_id WHERE ({_neg("content")}) = ({_neg("held")}) AND {_num("content")} = {_num("held")} UNION SELECT query_id, id FROM q JOIN a ON a.s = q.s AND id <> query_id WHERE contains({_run("held")}, {_run("content")}) AND ({_neg("content")}) = ({_neg("held")}))
-SELECT query_id, min(id) AS "of" FROM q LEFT JOIN d USING (query_id) GROUP BY 1""",
     "depth_evaluation": """WITH e AS (SELECT DISTINCT derived_memory_id AS id, evidence_memory_id AS v, relation FROM mem_derivations), c AS (SELECT id, list(DISTINCT v) AS c FROM e WHERE relation <> 'contradicts' GROUP BY 1), g AS (SELECT id, list(DISTINCT v) AS g FROM e WHERE relation IN ('inferred_from', 'supports', 'contradicts') GROUP BY 1)
 SELECT id, round(len(list_intersect(c, g)) / len(c), 6) AS citation_yield, round(len(list_intersect(c, g)) / len(list_distinct(list_concat(c, g))), 6) AS overlap, CAST(len(g) - len(list_intersect(c, g)) AS INTEGER) AS extra FROM c JOIN g USING (id)""",
 }

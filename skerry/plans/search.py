@@ -39,6 +39,19 @@ def doc_lexical_leg(spark, d):
     return _legs(spark, d)[1]
 
 
+def doc_composite_leg(spark, d):
+    """The lexical leg over plain words and their stems together."""
+    return S.lexical_leg(chunks(spark, d), F.col("content"), TERMS, KEYS, S.DOC_LEG, S.composite_score)
+
+
+def doc_search_degraded(spark, d):
+    """The search when no query vector could be had: words only, and it says so."""
+    ck = chunks(spark, d)
+    fused = S.fuse(S.semantic_leg(ck, None, KEYS, S.DOC_LEG), S.lexical_leg(ck, F.col("content"), TERMS, KEYS, S.DOC_LEG), KEYS)
+    order = [F.col("score").desc(), F.col("document_id").asc(), F.col("ordinal").asc()]
+    return S.cap_per_document(fused, "document_id", order, 2, 8).select(*KEYS, "lrank", "score", F.lit(True).alias("degraded"))
+
+
 def _fused(spark, d):
     return S.fuse(*_legs(spark, d), KEYS)
 
@@ -115,7 +128,7 @@ def embed_prefix(spark, d):
     return t.select("doc_id", F.regexp_replace(joined, r"^[ >]+|[ >]+$", "").alias("prefix"))
 
 
-QUERIES = {f.__name__: f for f in (doc_hybrid_search, doc_semantic_leg, doc_lexical_leg, doc_candidates_pool, doc_per_doc_cap, doc_rerank, doc_reassemble, unembedded_count, corpus_coverage, model_mix, vector_drift, query_tokens, embed_prefix)}
+QUERIES = {f.__name__: f for f in (doc_hybrid_search, doc_composite_leg, doc_search_degraded, doc_semantic_leg, doc_lexical_leg, doc_candidates_pool, doc_per_doc_cap, doc_rerank, doc_reassemble, unembedded_count, corpus_coverage, model_mix, vector_drift, query_tokens, embed_prefix)}
 
 CK = """ck AS (SELECT document_id, repo, ordinal, content, CASE WHEN (document_id + ordinal) % 13 <> 0 THEN (document_id * 31 + ordinal) % 500 END AS vec_id
  FROM (SELECT doc_id AS document_id, source AS repo, unnest(range(0, len(l))) AS ordinal, unnest(l) AS content FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)) x WHERE trim(content, ' ') <> '')"""
@@ -131,7 +144,15 @@ fused AS (SELECT document_id, ordinal, srank, lrank, round(coalesce(1::DOUBLE /
 capped AS (SELECT document_id, ordinal, srank, lrank, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM fused) WHERE n <= 2),
 pool AS (SELECT * FROM fused ORDER BY score DESC, document_id, ordinal LIMIT 30)"""
 
+_STEM = lambda w: f"CASE WHEN {w} LIKE '%ies' AND {w} NOT LIKE '%eies' AND {w} NOT LIKE '%aies' THEN {w}[:-4] || 'y' WHEN {w} LIKE '%es' AND {w} NOT LIKE '%aes' AND {w} NOT LIKE '%ees' AND {w} NOT LIKE '%oes' THEN {w}[:-2] WHEN {w} LIKE '%s' AND {w} NOT LIKE '%us' AND {w} NOT LIKE '%ss' THEN {w}[:-2] ELSE {w} END"
+
 ORACLE = {
+    "doc_composite_leg": f"""WITH {_LEGS}, both_ AS (SELECT document_id, ordinal, hits + len(list_filter(list_transform(w, lambda x: {_STEM("x")}), lambda x: x IN ('retry', 'queue', 'deadline', 'restart'))) AS hits, n FROM hit JOIN tok USING (document_id, ordinal)),
+b AS (SELECT document_id, ordinal, round(0.1::DOUBLE * hits / (1 + ln(n::DOUBLE)), 9) AS lscore FROM both_ WHERE hits > 0)
+SELECT document_id, ordinal, rank() OVER (ORDER BY lscore DESC) AS lrank FROM (SELECT * FROM b ORDER BY lscore DESC, document_id, ordinal LIMIT 50)""",
+    "doc_search_degraded": f"""WITH {_LEGS}, f AS (SELECT document_id, ordinal, lrank, round(1::DOUBLE / (60 + lrank), 9) AS score FROM lex),
+c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS n FROM f)
+SELECT document_id, ordinal, lrank, score, true AS degraded FROM c WHERE n <= 2 ORDER BY score DESC, document_id, ordinal LIMIT 8""",
     "doc_semantic_leg": f"WITH {_LEGS} SELECT * FROM sem",
     "doc_lexical_leg": f"WITH {_LEGS} SELECT * FROM lex",
     "doc_candidates_pool": f"WITH {_LEGS} SELECT * FROM pool",

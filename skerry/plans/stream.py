@@ -16,7 +16,7 @@ def stream_mark_fold(spark: SparkSession, d: str) -> DataFrame:
 
     def to_ops(e: DataFrame) -> DataFrame:
         status = F.when(F.col("event_type") == "error", "retracted").when(F.col("event_type") == "view", "superseded").otherwise("active")
-        return e.where("event_type IN ('error', 'view', 'purchase', 'signup')").select((F.col("user_id") % 500).alias("id"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
+        return e.where("event_type IN ('error', 'view', 'purchase', 'signup')").select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
 
     f = capture.follow_marks(spark, source, spark.read.parquet(source).schema, to_ops)
     return f.select("id", "status", "retired_at", F.size("intervals").alias("n_intervals"))

@@ -30,3 +30,8 @@ def markdown_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] =
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """Replaces only the partitions present in df (one transaction per repo in the original store)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a log, such as one of searches; what is there already is left alone."""
+    df.write.mode("append").parquet(path)
