@@ -4,7 +4,9 @@ Multinomial naive Bayes over hashed character n-grams. Prose sentences are cut o
 headings, tables, data lines and code spans are left out), folded to plain lower-case letters, and
 all sentences of a batch are scored at once: one gather of rows of the log-probability matrix
 for each n-gram length and one segmented sum. The matrix (a fixed 2^16 rows by the
-languages) is the only thing broadcast. It is fitted on a bounded sample of labelled documents
+languages) is the only thing broadcast, with a few figures. n-grams that overlap say the same thing several times, so a
+confidence is the posterior with the log-likelihood divided by a temperature, which is fitted on documents held out from
+the fit. A segment whose n-grams are far less likely than those of its language ever are is in none of the languages (``NONE``). It is fitted on a bounded sample of labelled documents
 (``per_language`` a language): once with the documents' labels, then again with each sentence under the
 language the first fit gives it, which repairs wrong labels and mixed documents.
 """
@@ -35,6 +37,10 @@ LABELS = {
     "ru": ["ru", "rus", "russian", "русский"],
 }
 LANGUAGES = list(LABELS)
+#: The language of segments that are in none of these, and how many deviations from its language's mean a segment may be.
+NONE, FAR = "und", 6.0
+#: Temperatures tried, and the part of the labelled documents held out for it.
+HEATS, HELD_OUT = [1.0, 2.0, 4.0, 8.0, 15.0, 30.0, 60.0, 100.0], 5
 
 
 def label_language(label: Column) -> Column:
@@ -151,10 +157,43 @@ def _counts(logp):
     return run
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> np.ndarray:
-    """The log-probability matrix (grams by languages) from docs (doc_id, text, lang).
+def _softmax(total: np.ndarray) -> np.ndarray:
+    e = np.exp(total - total.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-    About ``per_language`` documents of each language are drawn by hash; a language nobody labels
+
+def _check(logp):
+    """Of held-out documents, whose label most of their prose agrees with: for each language and temperature the summed log
+    loss, and the sentences' mean log-likelihoods an n-gram with their squares (temperature -1)."""
+    code = {c: i for i, c in enumerate(LANGUAGES)}
+
+    def run(batches):
+        loss = np.zeros((len(LANGUAGES), len(HEATS)))
+        rate = np.zeros((len(LANGUAGES), 3))
+        for b in batches:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                bare = [s[2] for s in sentences(text)]
+                if not bare:
+                    continue
+                total, size = score(bare, logp.value)
+                i = code[label]
+                if np.bincount(total.argmax(axis=1), minlength=len(LANGUAGES)).argmax() != i:
+                    continue
+                for k, heat in enumerate(HEATS):
+                    loss[i, k] -= np.log(np.maximum(_softmax(total / heat)[:, i], 1e-12)).sum()
+                own = (total[:, i] / size)[total.argmax(axis=1) == i]
+                rate[i] += [len(own), own.sum(), (own * own).sum()]
+        lang = np.repeat(np.arange(len(LANGUAGES)), len(HEATS) + 3)
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(np.tile(np.arange(-3, len(HEATS)), len(LANGUAGES))), pa.array(np.hstack([rate, loss]).ravel())], names=["lang", "heat", "v"])
+
+    return run
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, float, np.ndarray]:
+    """(log-probability matrix, grams by languages; temperature; least mean log-likelihood an n-gram of each language)
+    from docs (doc_id, text, lang).
+
+    About ``per_language`` documents of each language are drawn by hash, a fifth of them held out for the last two; a language nobody labels
     never comes out."""
     sc = docs.sparkSession.sparkContext
     named = docs.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
@@ -162,10 +201,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> np.ndarray:
     shares = F.create_map(*(F.lit(x) for code, n in have.items() for x in (code, min(1.0, per_language / n)))) if have else F.create_map()
     share = F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0)) if have else F.lit(0.0)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(1 << 30)
-    sample = durable(named.where(draw).select("label", "text"), "labelled")
+    sample = durable(named.where(draw).select("label", "text", (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(HELD_OUT)) == 0).alias("held")), "labelled")
+    few = sample.count() < 50 * len(LANGUAGES)  # too few to hold any out: the check is then on the fitted ones
     model = None
     for _ in range(2):
-        rows = sample.mapInArrow(_counts(model), "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        known = sample if few else sample.where("NOT held")
+        rows = known.select("label", "text").mapInArrow(_counts(model), "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
         total = np.zeros((1 << BITS, len(LANGUAGES)))
         if rows.num_rows:
             total[rows.column("gram").to_numpy(), rows.column("lang").to_numpy()] = rows.column("n").to_numpy()
@@ -174,12 +215,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> np.ndarray:
         logp[:, seen == 0] = -40.0
         logp = logp.astype(np.float32)
         model = sc.broadcast(logp)
-    return logp
+    held = sample if few else sample.where("held")
+    sums = np.zeros((len(LANGUAGES), len(HEATS) + 3))
+    for r in held.select("label", "text").mapInArrow(_check(model), "lang long, heat long, v double").groupBy("lang", "heat").agg(F.sum("v").alias("v")).collect():
+        sums[r.lang, r.heat + 3] = r.v
+    heat = HEATS[int(sums[:, 3:].sum(axis=0).argmin())]
+    n = np.maximum(sums[:, 0], 1)
+    mean = sums[:, 1] / n
+    least = mean - FAR * np.sqrt(np.maximum(sums[:, 2] / n - mean * mean, 0))
+    least[sums[:, 0] < 2] = -np.inf
+    return logp, heat, least
 
 
 def _segments(model):
     def run(batches):
-        logp = model.value
+        logp, heat, least = model.value
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             per = [sentences(t) for t in texts]
@@ -201,9 +251,10 @@ def _segments(model):
                         j = i
                         while j < len(p) and own[j] == own[i]:
                             j += 1
-                        mean = total[at + i : at + j].sum(axis=0) / size[at + i : at + j].sum()
-                        e = np.exp((mean - mean.max()) * 20)
-                        for c, v in zip(cols, (doc, seg, LANGUAGES[own[i]], float(e[own[i]] / e.sum()), j - i, p[i][0], p[j - 1][1])):
+                        whole = total[at + i : at + j].sum(axis=0)
+                        sure = float(_softmax(whole[None, :] / heat)[0, own[i]])
+                        foreign = whole[own[i]] / size[at + i : at + j].sum() < least[own[i]]
+                        for c, v in zip(cols, (doc, seg, NONE if foreign else LANGUAGES[own[i]], 0.0 if foreign else sure, j - i, p[i][0], p[j - 1][1])):
                             c.append(v)
                         i, seg = j, seg + 1
                     at += len(p)
@@ -215,7 +266,7 @@ def _segments(model):
 
 def segments(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs (doc_id, text, lang) -> (doc_id, segment, lang, confidence, sentences, start_char, end_char): runs of
-    consecutive prose sentences in one language. Texts without prose (null, empty, only code) have none."""
+    consecutive prose sentences in one language, or in none of those known (``und``, confidence 0). Texts without prose (null, empty, only code) have none."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))
     schema = "doc_id long, segment int, lang string, confidence double, sentences int, start_char int, end_char int"
     return docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_segments(model), schema)

@@ -118,13 +118,13 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = VO
         size[r.mix_name] = min(size.get(r.mix_name, math.inf), most)
     goal = {i: r.target_share * size[r.mix_name] for i, r in usable.items()}
     caps = {i: r.max_repeats for i, r in usable.items()}
-    pick = F.array(*(F.struct(F.lit(i).alias("target"), F.lit(r.source).alias("of"), F.lit(r.mix_name).alias("mix_name"), F.lit(r.max_repeats).alias("most")) for i, r in usable.items())) if usable else None
+    usable_rows = [(i, r.source, r.mix_name) for i, r in usable.items()]
+    pick = F.broadcast(spark.createDataFrame(usable_rows, "target int, source string, mix_name string")) if usable else None  # at most MOST_TARGETS rows
     if pick is None:
         drawn = spark.createDataFrame([], "target int, mix_name string, source string, doc_id long, n_tokens int, count int")
         rate: dict[int, float] = {}
     else:
-        rolled = sized.select("source", "doc_id", "n_tokens", F.explode(F.filter(pick, lambda t: t["of"] == F.col("source"))).alias("t"))
-        rolled = rolled.select("t.target", "t.mix_name", "source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "t.mix_name", "doc_id").alias("v"))
+        rolled = sized.join(pick, "source").select("target", "mix_name", "source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "mix_name", "doc_id").alias("v"))
         seeds: dict[int, list[int]] = {i: list(range(SEEDS)) for i in usable}
         grids = {(i, s): np.geomspace(1e-6, 8 * caps[i] + 40, CELLS) for i in usable for s in seeds[i]}
         best: dict[int, tuple] = {}

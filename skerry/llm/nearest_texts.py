@@ -192,7 +192,8 @@ def _postings(df_b, sketch_b, bound, depth, t):
 
 def _collect_sketch(counts: DataFrame, cells: int) -> np.ndarray:
     """Counters by bucket; at most ``cells`` rows by construction."""
-    rows = counts.toArrow()
+    most = F.lit((1 << 31) - 1)
+    rows = counts.select(F.col("bucket").cast("int"), F.least("n", most).cast("int").alias("n")).toArrow()  # eight bytes a cell
     out = np.zeros(cells, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out

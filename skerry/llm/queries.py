@@ -139,7 +139,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from skerry.llm.language import label_language
 
     docs, segs = _segments(spark, d)
-    runs = segs.where("sentences >= 2").select("doc_id", "lang").distinct()
+    runs = segs.where("sentences >= 2 AND lang <> 'und'").select("doc_id", "lang").distinct()
     labels = docs.select("doc_id", label_language(F.col("lang")).alias("label"))
     return runs.join(labels, "doc_id").where("label IS DISTINCT FROM lang").select("doc_id", "lang").distinct()
 

@@ -83,7 +83,9 @@ def cuts(data: bytes, max_tokens: int, overlap_tokens: int) -> tuple[np.ndarray,
     limit, n = max_tokens * BYTES_PER_TOKEN, len(data)
     if n <= limit:
         return np.array([0]), np.array([n]), np.array([HEADING])
-    overlap = min(max(overlap_tokens, 0), max(max_tokens - 2, 0)) * BYTES_PER_TOKEN
+    if not 0 <= overlap_tokens <= max(max_tokens - 2, 0):
+        raise ValueError(f"an overlap of {overlap_tokens} tokens leaves no room in pieces of {max_tokens}")
+    overlap = overlap_tokens * BYTES_PER_TOKEN
     pos, cls = boundaries(data, max(4, (limit - overlap) // 2))
     raw = np.frombuffer(data, np.uint8)
     start = _char_start(raw, np.maximum(pos - overlap, 0))
@@ -119,6 +121,10 @@ def _run(keep_text: bool):
             most, over = b.column(2).to_pylist(), b.column(3).to_pylist()
             out = ([], [], [], [], [], [])
             for doc, text, m, o in zip(docs, texts, most, over):
+                if m is None or -(-len(text) // BYTES_PER_TOKEN) <= m and text.isascii():  # fits, seen without encoding it
+                    for col, v in zip(out, (doc, 0, 0, len(text) if text.isascii() else len(text.encode("utf-8")), KINDS[HEADING], text if keep_text else None)):
+                        col.append(v)
+                    continue
                 data = text.encode("utf-8")
                 starts, ends, cls = cuts(data, m, o)
                 for i, (s, e, c) in enumerate(zip(starts.tolist(), ends.tolist(), cls.tolist())):
@@ -139,7 +145,7 @@ def split_documents(docs: DataFrame, limits: DataFrame, keep_text: bool = True)
     A text that fits is one piece; null and empty texts are one empty piece. Pieces cover the whole
     text; each following piece starts exactly overlap_tokens (by size) before the end of the one
     before, at a character. Sizes are measured on the text; token_count is not read. Repeated documents
-    count once. limits is a dimension of a few rows."""
+    count once. limits is a dimension of a few rows; an overlap that leaves less than two tokens of a piece is an error."""
     key = F.lower(F.trim(F.col("doc_type")))
     rows = limits.where("doc_type IS NOT NULL AND max_tokens IS NOT NULL").groupBy(key.alias("k")).agg(F.max(F.struct("max_tokens", "overlap_tokens")).alias("l"))
     rows = rows.select("k", "l.max_tokens", "l.overlap_tokens").limit(MOST_TYPES + 1).collect()
@@ -151,12 +157,8 @@ def split_documents(docs: DataFrame, limits: DataFrame, keep_text: bool = True)
         hit = F.lit(True) if r.k == "default" else F.coalesce(F.col("k") == r.k, F.lit(False))
         most = F.when(hit, F.lit(r.max_tokens)).otherwise(most)
         over = F.when(hit, F.lit(r.overlap_tokens or 0)).otherwise(over)
+    for r in rows:
+        if not 0 <= (r.overlap_tokens or 0) <= max(r.max_tokens - 2, 0):
+            raise ValueError(f"limits of {r.k!r}: an overlap of {r.overlap_tokens} tokens leaves no room in pieces of {r.max_tokens}")
     d = d.select("doc_id", "text", most.alias("most"), over.alias("over"))
-    size = F.octet_length("text")
-    big = size > F.col("most") * BYTES_PER_TOKEN
-    cut = d.where(big).mapInArrow(_run(keep_text), "doc_id long, piece int, start_byte long, end_byte long, cut_at string, text string")
-    whole = d.where(~F.coalesce(big, F.lit(False))).select(
-        "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_byte"), size.cast("long").alias("end_byte"), F.lit("heading").alias("cut_at"),
-        F.col("text") if keep_text else F.lit(None).cast("string").alias("text"),
-    )
-    return cut.unionByName(whole)
+    return d.mapInArrow(_run(keep_text), "doc_id long, piece int, start_byte long, end_byte long, cut_at string, text string")

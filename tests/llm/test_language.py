@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from skerry.llm.language import document_languages, label_language, segments, sentences
+from skerry.llm.language import NONE, document_languages, label_language, segments, sentences
+from skerry.sources.durable import durable
 
 
 def test_labels(spark):
@@ -21,8 +22,14 @@ def test_held_out_accuracy(spark, data):
     (about a tenth of the labels is wrong on purpose)."""
     docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang")
     hidden = docs.where("doc_id % 2 = 0")
-    both = docs.where("doc_id % 2 = 1").unionByName(hidden.withColumn("lang", F.lit(None).cast("string"))).selectExpr("*", "1 AS label", "2 AS segment")
-    found = document_languages(segments(both, per_language=60))
+    foreign = ["Planowanie zapytań blokuje indeks na czas uzupełniania danych. Nikt nie powinien edytować tego bezpośrednio.", "Palvelu ei enää lue tiedostoja joista puuttuu tarkistussumma. Kukaan ei saisi muuttaa tätä käsin kysymättä ensin."]
+    odd = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    both = docs.where("doc_id % 2 = 1").unionByName(odd).unionByName(hidden.withColumn("lang", F.lit(None).cast("string"))).selectExpr("*", "1 AS label", "2 AS segment")
+    segs = durable(segments(both, per_language=100), "segments")
+    assert {r.lang for r in segs.where("doc_id < 0").collect()} == {NONE}
+    sure = segs.where(F.col("lang") != NONE).agg(F.avg("confidence"), F.count_if(F.col("confidence") < 0.5)).first()
+    assert segs.where(F.col("lang") == NONE).count() < 0.02 * segs.count() and sure[0] > 0.9 and sure[1] < 0.05 * segs.count()
+    found = document_languages(segs.where("doc_id >= 0"))
     j = found.join(hidden.select("doc_id", label_language(F.col("lang")).alias("label")).where("label IS NOT NULL"), "doc_id")
     n, ok = j.agg(F.count("*"), F.count_if(F.col("lang") == F.col("label"))).first()
     assert n > 300 and ok / n > 0.85
