@@ -18,12 +18,16 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     step = e.join(seeds.select("root"), F.col("derived") == F.col("root")).select(
         F.col("evidence").alias("node"), "root", F.col("derived").alias("target"), "relation", F.lit(1).alias("depth"), F.array("derived", "evidence").alias("path")
     )
+    step = durable(step, "hop")  # a hop is computed once, however many follow it
     out = step
     for _ in range(hops - 1):
         on = step.where("relation <> 'contradicts'").select("node", "root", "depth", "path")
         step = on.join(e, on.node == e.derived).where(~F.array_contains("path", F.col("evidence"))).select(
             F.col("evidence").alias("node"), "root", F.col("derived").alias("target"), "relation", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("evidence")).alias("path")
         )
+        step = durable(step, "hop")
+        if step.isEmpty():
+            break
         out = out.unionByName(step)
     return out
 

@@ -9,7 +9,7 @@ from skerry.operators import evidence as E
 from skerry.operators import views as V
 from skerry.operators.cliques import larger_cliques, maximal_cliques
 from skerry.operators.vectors import similar_vectors
-from skerry.plans.memory import DIST, LIVE, M, MAY, NOW, PROJECTS, READER, edges
+from skerry.plans.memory import DIST, LIVE, M, MAY, NOW, PROJECTS, READER, TOLD, edges, told
 from skerry.sources.tables import table
 
 SIMILAR = 0.65
@@ -60,7 +60,8 @@ def evidence_walk(spark, d):
 
 
 def premises_live(spark, d):
-    return E.premises_live(edges(spark, d), V.memories(spark, d), READER, PROJECTS, NOW)
+    """With premises that are edges and such as the metadata names."""
+    return E.premises_live(edges(spark, d), told(spark, d), READER, PROJECTS, NOW)
 
 
 def stale_derived(spark, d):
@@ -135,6 +136,9 @@ p AS (SELECT x.vec_id AS a, y.vec_id AS b, {DIST.format(a="x.a", b="y.a")} AS di
 _EXT = lambda k: f"SELECT list_append(c.m, p.b) AS m FROM k{k} c JOIN p ON p.a = c.m[{k}] WHERE " + (" AND ".join(f"EXISTS (SELECT 1 FROM p x WHERE x.a = c.m[{i}] AND x.b = p.b)" for i in range(1, k)) or "true")
 _SUB = lambda k: "SELECT DISTINCT list_concat(m[1:i-1], m[i+1:]) AS m FROM k%d, range(1, %d) r(i)" % (k + 1, k + 2)
 
+_LIVE = LIVE.replace("p AS (SELECT derived, evidence AS premise FROM e WHERE relation IN ('inferred_from', 'supports') GROUP BY ALL)", f"""{TOLD},
+p AS (SELECT derived, evidence AS premise FROM e WHERE relation IN ('inferred_from', 'supports') UNION SELECT id, try_cast(x AS BIGINT) FROM (SELECT id, unnest(from_json(json_extract(meta, '$.premise_ids'), '["VARCHAR"]')) AS x FROM told) WHERE regexp_full_match(x, '[0-9]{{1,18}}'))""")
+
 ORACLE = {
     "perspectives": f"""WITH {M} SELECT v.id AS memory_id, v.author, memory_type, status, project, v.created_at, a.canonical_name AS observer, b.canonical_name AS observed
 FROM vis v JOIN mem_entities a ON a.id = observer_entity_id JOIN mem_entities b ON b.id = observed_entity_id ORDER BY v.created_at DESC, v.id DESC LIMIT 200""",
@@ -148,8 +152,8 @@ SELECT * FROM g ORDER BY first_rank LIMIT 3""",
 g AS (SELECT node, min(depth) AS depth, count(DISTINCT root) FILTER (WHERE relation <> 'contradicts') AS n_roots, count(DISTINCT path) FILTER (WHERE relation <> 'contradicts') AS n_paths,
  coalesce(list_sort(list(DISTINCT target) FILTER (WHERE relation = 'contradicts')), []) AS contradicts FROM w GROUP BY 1)
 SELECT node AS memory_id, CAST(depth AS INTEGER) AS depth, CAST(n_roots AS INTEGER) AS n_roots, n_paths, contradicts FROM g WHERE node IN (SELECT id FROM act WHERE kind IS DISTINCT FROM 'page')""",
-    "premises_live": f"WITH {M}, {LIVE} SELECT derived, live FROM live",
-    "stale_derived": f"WITH {M}, {LIVE} SELECT id FROM vis JOIN live ON derived = id WHERE reasoning_level IN ('deductive', 'inductive') AND NOT live",
+    "premises_live": f"WITH {M}, {_LIVE} SELECT derived, live FROM live",
+    "stale_derived": f"WITH {M}, {_LIVE} SELECT id FROM vis JOIN live ON derived = id WHERE reasoning_level IN ('deductive', 'inductive') AND NOT live",
     "cycle_check": """WITH RECURSIVE r AS (SELECT DISTINCT src_component_id AS s, dst_component_id AS d FROM relationships), t AS (SELECT s, d FROM r UNION SELECT t.s, r.d FROM t JOIN r ON r.s = t.d),
 c AS (SELECT DISTINCT s AS n FROM t WHERE s = d) SELECT DISTINCT d AS component_id FROM t WHERE s IN (SELECT n FROM c)""",
     "cycle_guard": """WITH RECURSIVE e AS (SELECT DISTINCT id, evidence_memory_id AS f, derived_memory_id AS t FROM mem_derivations),

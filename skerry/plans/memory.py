@@ -65,12 +65,27 @@ def mem_search(spark, d):
     return search_memories(pool, table(spark, d, "embeddings"), _vector(spark, d, 3), live, TERMS, 20)
 
 
+def told(spark, d):
+    """Memories, some of which say more of themselves in their metadata: closed retirements, premises, a successor, what they
+    were merged from; each with something malformed beside it."""
+    k = F.col("id")
+    of = lambda *steps: F.concat(*(x for s in steps for x in (F.lit('"'), (k + s).cast("string"), F.lit('", '))), F.lit('"none"'))
+    more = (
+        F.when(k % 50 == 1, '{"retired_intervals": [{"retired_at": "2023-11-01T00:00:00", "reactivated_at": "2023-12-15T00:00:00"}, {"retired_at": "long ago"}]}')
+        .when(k % 50 == 2, F.concat(F.lit('{"premise_ids": ['), of(-1, -7), F.lit("]}")))
+        .when(k % 50 == 3, F.concat(F.lit('{"superseded_by": "'), F.when(k % 100 == 3, F.lit("none")).otherwise((k + 1).cast("string")), F.lit('"}')))
+        .when(k % 50 == 4, F.concat(F.lit('{"merged_from": ['), of(-1, -2), F.lit("]}")))
+    )
+    return _all(spark, d).withColumn("metadata", F.coalesce(more, F.col("metadata")))
+
+
 def mem_as_of(spark, d):
     """What was believed at an instant, whatever its status is today; instants inside a closed retirement do not count."""
     t = "2023-12-01 00:00:00"
-    m = V.visible(_all(spark, d), READER, PROJECTS)
+    m = V.visible(told(spark, d), READER, PROJECTS)
     spans = F.from_json(F.get_json_object("metadata", "$.retired_intervals"), "array<struct<retired_at:string,reactivated_at:string>>")
-    gap = F.exists(spans, lambda s: (F.try_to_timestamp(s["retired_at"]) <= F.lit(t).cast("timestamp")) & (F.try_to_timestamp(s["reactivated_at"]) > F.lit(t).cast("timestamp")))
+    when = lambda c: c.try_cast("timestamp_ntz")
+    gap = F.exists(spans, lambda s: F.coalesce((when(s["retired_at"]) <= V.at(t)) & (when(s["reactivated_at"]) > V.at(t)), F.lit(False)))
     held = (F.col("created_at") <= V.at(t)) & (F.col("retired_at").isNull() | (F.col("retired_at") > V.at(t))) & ~F.coalesce(gap, F.lit(False))
     return m.where(held).select("id", "status")
 
@@ -200,6 +215,11 @@ M = f"""m AS (SELECT DISTINCT * FROM mem_memories),
 vis AS (SELECT * FROM m WHERE {MAY}),
 act AS (SELECT * FROM vis WHERE status = 'active' AND {WIN}),
 e AS (SELECT DISTINCT id, author, derived_memory_id AS derived, evidence_memory_id AS evidence, relation, created_at FROM mem_derivations)"""
+#: told: the metadata planted by the query of that name, as JSON; null where it is broken or no object.
+TOLD = """told AS (SELECT id, author, created_at, status, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS meta FROM (SELECT *, CASE id % 50
+ WHEN 1 THEN '{"retired_intervals": [{"retired_at": "2023-11-01T00:00:00", "reactivated_at": "2023-12-15T00:00:00"}, {"retired_at": "long ago"}]}'
+ WHEN 2 THEN '{"premise_ids": ["' || (id - 1) || '", "' || (id - 7) || '", "none"]}' WHEN 3 THEN '{"superseded_by": "' || (CASE WHEN id % 100 = 3 THEN 'none' ELSE CAST(id + 1 AS VARCHAR) END) || '"}'
+ WHEN 4 THEN '{"merged_from": ["' || (id - 1) || '", "' || (id - 2) || '", "none"]}' ELSE metadata END AS t FROM m))"""
 LIVE = f"""p AS (SELECT derived, evidence AS premise FROM e WHERE relation IN ('inferred_from', 'supports') GROUP BY ALL),
 live AS (SELECT v.id AS derived, coalesce(bool_and(a.id IS NOT NULL) FILTER (WHERE p.premise IS NOT NULL), false) AS live FROM vis v LEFT JOIN p ON p.derived = v.id LEFT JOIN act a ON a.id = p.premise GROUP BY v.id)"""
 DIST = "round(1 - list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})), 9)"
@@ -222,7 +242,9 @@ f AS (SELECT id, srank, lrank, round(coalesce(1::DOUBLE / (60 + srank), 0) + coa
 SELECT f.id, srank, lrank, score, coalesce(reasoning_level, 'explicit') AS reasoning_level FROM f JOIN pool USING (id) LEFT JOIN dist USING (vec_id) LEFT JOIN live ON live.derived = f.id
 WHERE (srank IS NOT NULL OR pool.vec_id IS NULL OR dist < {LEXDIST}) AND ({_EXPL} OR live.live)
 ORDER BY score DESC, round(coalesce(importance, 0) + CASE WHEN created_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAYS THEN 1 ELSE 0 END, 9) DESC, importance DESC NULLS LAST, created_at DESC, f.id DESC LIMIT 20""",
-    "mem_as_of": f"WITH {M} SELECT id, status FROM vis WHERE created_at <= TIMESTAMP '2023-12-01' AND (retired_at IS NULL OR retired_at > TIMESTAMP '2023-12-01')",
+    "mem_as_of": f"""WITH {M}, {TOLD}, iv AS (SELECT id, unnest(from_json(json_extract(meta, '$.retired_intervals'), '["JSON"]')) AS v FROM told),
+gap AS (SELECT DISTINCT id FROM iv WHERE try_cast(json_extract_string(v, '$.retired_at') AS TIMESTAMP) <= TIMESTAMP '2023-12-01' AND try_cast(json_extract_string(v, '$.reactivated_at') AS TIMESTAMP) > TIMESTAMP '2023-12-01')
+SELECT id, status FROM vis WHERE created_at <= TIMESTAMP '2023-12-01' AND (retired_at IS NULL OR retired_at > TIMESTAMP '2023-12-01') AND id NOT IN (SELECT id FROM gap)""",
     "mem_nearest": f"""WITH {M}, c AS (SELECT vec_id, min(id) AS first_id, count(*) AS members FROM act WHERE kind IS DISTINCT FROM 'page' AND vec_id IS NOT NULL GROUP BY 1),
 q AS (SELECT id AS query_id, vec_id AS q FROM m WHERE id % 100 = 0 AND vec_id IS NOT NULL),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings),

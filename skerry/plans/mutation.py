@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import oplog as O
 from skerry.operators import views as V
-from skerry.plans.memory import M, MAY, NOW, PROJECTS, READER, edges
+from skerry.plans.memory import M, MAY, NOW, PROJECTS, READER, TOLD, edges, told
 from skerry.sources.tables import table
 
 
@@ -38,7 +38,7 @@ def entity_upsert(spark, d):
 
 def retired_backfill(spark, d):
     """When belief ended, for rows that are no longer active but do not say so: replacement, event end, named successor, last update."""
-    m = V.memories(spark, d)
+    m = told(spark, d)
     lost = m.withColumn("retired_at", F.when(F.col("id") % 2 == 0, F.col("retired_at"))).where("status <> 'active' AND retired_at IS NULL")
     s = m.select(F.col("supersedes_id").alias("id"), F.col("created_at").alias("at")).where("id IS NOT NULL")
     first = lost.select("id", "created_at").join(s, "id").where("at >= created_at").groupBy("id").agg(F.min("at").alias("replaced"))
@@ -51,7 +51,7 @@ def retired_backfill(spark, d):
 
 def derivation_backfill(spark, d):
     """Edges that supersede links and merges imply, same author, not yet there."""
-    m = V.memories(spark, d)
+    m = told(spark, d)
     own = m.select("id", "author")
     sup = m.where("supersedes_id IS NOT NULL").select(F.col("id").alias("derived"), F.col("supersedes_id").alias("evidence"), "author", F.lit("supersedes").alias("relation"))
     ids = F.from_json(F.get_json_object("metadata", "$.merged_from"), "array<string>")
@@ -157,9 +157,13 @@ SELECT id, max_by(status, (ts, event_id)) AS status, CASE WHEN NOT max_by(on_, (
     "review_dedupe": f"WITH {M} SELECT md5(lower(trim(content, ' '))) AS key, min(id) AS id, count(*) AS n FROM m WHERE reasoning_level IN ('deductive', 'inductive') GROUP BY 1",
     "entity_upsert": """SELECT namespace, entity_type, name, min(id) AS id, coalesce(list_sort(list(DISTINCT alias) FILTER (WHERE alias <> '')), []) AS aliases FROM (
 SELECT namespace, entity_type, lower(trim(canonical_name, ' ')) AS name, id, trim(unnest(CASE WHEN aliases IS NULL OR len(aliases) = 0 THEN [NULL] ELSE aliases END), ' ') AS alias FROM mem_entities) GROUP BY 1, 2, 3""",
-    "retired_backfill": f"""WITH {M}, l AS (SELECT * FROM m WHERE status <> 'active' AND (retired_at IS NULL OR id % 2 <> 0))
-SELECT id, greatest(created_at, coalesce((SELECT min(s.created_at) FROM m s WHERE s.supersedes_id = l.id AND s.created_at >= l.created_at), CASE WHEN valid_to >= created_at AND valid_to <= TIMESTAMP '{NOW}' THEN valid_to END, greatest(updated_at, created_at))) AS retired_at FROM l""",
-    "derivation_backfill": f"""WITH {M} SELECT a.id AS derived, b.id AS evidence, 'supersedes' AS relation FROM m a JOIN m b ON b.id = a.supersedes_id AND b.author = a.author AND a.id <> b.id
+    "retired_backfill": f"""WITH {M}, {TOLD}, by_ AS (SELECT t.id, try_cast(json_extract_string(meta, '$.superseded_by') AS BIGINT) AS nid FROM told t), nm AS (SELECT b.id, n.created_at AS named FROM by_ b JOIN m n ON n.id = b.nid),
+l AS (SELECT * FROM m WHERE status <> 'active' AND (retired_at IS NULL OR id % 2 <> 0))
+SELECT id, greatest(created_at, coalesce((SELECT min(s.created_at) FROM m s WHERE s.supersedes_id = l.id AND s.created_at >= l.created_at), CASE WHEN valid_to >= created_at AND valid_to <= TIMESTAMP '{NOW}' THEN valid_to END, (SELECT nm.named FROM nm WHERE nm.id = l.id AND nm.named >= l.created_at), greatest(updated_at, created_at))) AS retired_at FROM l""",
+    "derivation_backfill": f"""WITH {M}, {TOLD}, mg AS (SELECT id, author, unnest(from_json(json_extract(meta, '$.merged_from'), '["VARCHAR"]')) AS x FROM told)
+SELECT DISTINCT mg.id AS derived, b.id AS evidence, 'summarizes' AS relation FROM mg JOIN m b ON b.id = try_cast(x AS BIGINT) AND b.author = mg.author AND b.id <> mg.id
+WHERE regexp_full_match(x, '[0-9]{{1,18}}') AND NOT EXISTS (SELECT 1 FROM e WHERE e.derived = mg.id AND e.evidence = b.id AND e.relation = 'summarizes')
+UNION ALL SELECT a.id AS derived, b.id AS evidence, 'supersedes' AS relation FROM m a JOIN m b ON b.id = a.supersedes_id AND b.author = a.author AND a.id <> b.id
 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.derived = a.id AND e.evidence = b.id AND e.relation = 'supersedes')""",
     "write_rejects": f"""WITH {M}, b AS (SELECT id, scope, CASE WHEN id % 90 = 0 THEN '  ' ELSE content END AS content, CASE WHEN id % 40 = 0 THEN valid_from - INTERVAL 1 DAY ELSE valid_to END AS valid_to, valid_from, CASE WHEN id % 70 = 0 THEN 1.5 ELSE confidence END AS confidence, CASE WHEN id % 60 <> 0 THEN project END AS project FROM m),
 r AS (SELECT id, CASE WHEN trim(coalesce(content, ''), ' ') = '' THEN 'empty content' WHEN valid_to < valid_from THEN 'window ends before it starts' WHEN scope = 'project' AND project IS NULL THEN 'project scope without a project' WHEN confidence < 0 OR confidence > 1 THEN 'confidence out of range' END AS reason FROM b) SELECT * FROM r WHERE reason IS NOT NULL""",

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.operators import context as C
+from skerry.operators import evidence as E
 from skerry.operators import views as V
-from skerry.plans.memory import M, NOW, PROJECTS, READER, stale
+from skerry.plans.memory import LIVE, M, NOW, PROJECTS, READER, edges, mem_search, stale
+from skerry.plans.memory import ORACLE as _MEMORY
+from skerry.sources.durable import durable
 from skerry.sources.tables import table
 
 
@@ -68,21 +71,42 @@ def source_mix(spark, d):
     return s.join(m, "memory_id", "left").groupBy("source_type").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("created_at") < F.col("born")).alias("early"), F.count_distinct(F.lower("channel")).alias("channels"))
 
 
+SESSION, DEPTH = "sess-nightly-import", "max"
+
+
 def context_sections(spark, d):
-    """The tagged frames a context is made of: global, project, derived; each in its own order."""
+    """The tagged frames a context is made of at its greatest depth: global, relevant, project, session, derived, and the
+    evidence of what is derived; each in its own order, as long as the depth allows."""
+    limit, derived, hops = C.DEPTHS[DEPTH]
     act = _act(spark, d).where(V.not_page())
     order = [F.col("importance").desc_nulls_last(), F.col("created_at").desc(), F.col("id").desc()]
     explicit = F.coalesce("reasoning_level", F.lit("explicit")) == "explicit"
-
-    def part(no, name, cond, n):
-        rows = act.where(cond).orderBy(*order).limit(n)
-        return rows.select(F.lit(READER).alias("reader"), F.lit(name).alias("section"), F.lit(no).alias("section_no"), F.row_number().over(Window.orderBy(*order)).alias("pos"), "id", "content")
-
-    return part(0, "global", explicit & F.col("project").isNull(), 8).unionByName(part(1, "project", explicit & (F.col("project") == "p1"), 20)).unionByName(part(2, "derived", ~explicit, 20))
+    live = E.premises_live(edges(spark, d), V.memories(spark, d), READER, PROJECTS, NOW).where("live").select(F.col("derived").alias("id"))
+
+    def part(no, name, rows, by, n=limit):
+        rows = rows.orderBy(*by).limit(n)
+        return rows.select(F.lit(READER).alias("reader"), F.lit(name).alias("section"), F.lit(no).alias("section_no"), F.row_number().over(Window.orderBy(*by)).alias("pos"), "id", "content")
+
+    found = mem_search(spark, d)
+    ranked = [F.col("score").desc(), F.col("lift").desc(), *order]
+    recent = F.round(F.coalesce("importance", F.lit(0.0)) + (F.col("created_at") > V.at(NOW) - F.expr("INTERVAL 30 DAYS")).cast("int"), 9)
+    relevant = act.join(found.select("id", "score"), "id").withColumn("lift", recent)
+    said = table(spark, d, "mem_sources").where(F.col("session_id") == SESSION).select(F.col("memory_id").alias("id"))
+    conclusions = act.where(~explicit).join(live, "id", "left_semi")
+    out = part(0, "global", act.where(explicit & F.col("project").isNull()), order).unionByName(part(1, "relevant", relevant, ranked))
+    out = out.unionByName(part(2, "project", act.where(explicit & (F.col("project") == "p1")), order)).unionByName(part(3, "session", act.where(explicit).join(said, "id", "left_semi"), order))
+    if derived:
+        top = durable(part(4, "derived", conclusions, order), "derived")
+        out = out.unionByName(top)
+        if hops:
+            paths = E.walk(edges(spark, d), top.select(F.col("id").alias("root")), hops)
+            near = paths.groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
+            out = out.unionByName(part(5, "evidence", act.join(near, "id"), [F.col("depth").asc(), F.col("id").asc()], 80))
+    return out
 
 
 def context_pack(spark, d):
-    return C.pack(context_sections(spark, d))
+    return C.pack(context_sections(spark, d), depth=DEPTH)
 
 
 def depth_evaluation(spark, d):
@@ -113,10 +137,17 @@ SELECT doc_scope, map_scope, CASE WHEN map_scope IS NULL THEN 'unmapped' WHEN ma
     "latency_stats": """WITH f AS (SELECT event_type, min(event_id) AS first FROM events GROUP BY 1), e AS (SELECT event_type, value FROM events JOIN f USING (event_type) WHERE event_id <> first), l AS (SELECT event_type, list(value ORDER BY value) AS v FROM e GROUP BY 1)
 SELECT event_type, CAST(len(v) AS BIGINT) AS n, (v[CAST(floor((len(v) + 1) / 2) AS BIGINT)] + v[CAST(floor(len(v) / 2) AS BIGINT) + 1]) / 2 AS median, v[CAST(ceil(len(v) * 9 / 10) AS BIGINT)] AS p90, v[len(v)] AS max FROM l""",
     "source_mix": f"""WITH {M}, s AS (SELECT DISTINCT * FROM mem_sources) SELECT source_type, count(*) AS n, count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE s.created_at < m.created_at) AS early, count(DISTINCT lower(channel)) AS channels FROM s LEFT JOIN m ON m.id = s.memory_id GROUP BY 1""",
-    "context_sections": f"""WITH {M}, a AS (SELECT * FROM act WHERE kind IS DISTINCT FROM 'page'),
-g AS (SELECT 'global' AS section, 0 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND project IS NULL), p AS (SELECT 'project' AS section, 1 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND project = 'p1'),
-v AS (SELECT 'derived' AS section, 2 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE NOT {_EX})
-SELECT 'u1' AS reader, * FROM (SELECT * FROM g WHERE pos <= 8 UNION ALL SELECT * FROM p WHERE pos <= 20 UNION ALL SELECT * FROM v WHERE pos <= 20)""",
+    "context_sections": f"""WITH RECURSIVE {M}, {LIVE}, a AS (SELECT * FROM act WHERE kind IS DISTINCT FROM 'page'),
+found AS (SELECT id, score FROM ({_MEMORY['mem_search']})),
+g AS (SELECT 'global' AS section, 0 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND project IS NULL),
+r AS (SELECT 'relevant' AS section, 1 AS section_no, row_number() OVER (ORDER BY score DESC, round(coalesce(importance, 0) + CASE WHEN created_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAYS THEN 1 ELSE 0 END, 9) DESC, {_ORD}) AS pos, id, content FROM a JOIN found USING (id)),
+p1 AS (SELECT 'project' AS section, 2 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND project = 'p1'),
+s AS (SELECT 'session' AS section, 3 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE {_EX} AND id IN (SELECT memory_id FROM mem_sources WHERE session_id = '{SESSION}')),
+v AS (SELECT 'derived' AS section, 4 AS section_no, row_number() OVER (ORDER BY {_ORD}) AS pos, id, content FROM a WHERE NOT {_EX} AND id IN (SELECT derived FROM live WHERE live)),
+w AS (SELECT e.evidence AS node, e.relation, 1 AS depth FROM e JOIN v ON v.id = e.derived WHERE v.pos <= 40 UNION SELECT e.evidence, e.relation, w.depth + 1 FROM w JOIN e ON e.derived = w.node WHERE w.depth < 8 AND w.relation <> 'contradicts'),
+n AS (SELECT node AS id, min(depth) AS depth FROM w GROUP BY 1),
+ev AS (SELECT 'evidence' AS section, 5 AS section_no, row_number() OVER (ORDER BY depth, id) AS pos, id, content FROM a JOIN n USING (id))
+SELECT '{READER}' AS reader, * FROM (SELECT * FROM g WHERE pos <= 40 UNION ALL SELECT * FROM r WHERE pos <= 40 UNION ALL SELECT * FROM p1 WHERE pos <= 40 UNION ALL SELECT * FROM s WHERE pos <= 40 UNION ALL SELECT * FROM v WHERE pos <= 40 UNION ALL SELECT * FROM ev WHERE pos <= 80)""",
     "depth_evaluation": """WITH e AS (SELECT DISTINCT derived_memory_id AS id, evidence_memory_id AS v, relation FROM mem_derivations), c AS (SELECT id, list(DISTINCT v) AS c FROM e WHERE relation <> 'contradicts' GROUP BY 1), g AS (SELECT id, list(DISTINCT v) AS g FROM e WHERE relation IN ('inferred_from', 'supports', 'contradicts') GROUP BY 1)
 SELECT id, round(len(list_intersect(c, g)) / len(c), 6) AS citation_yield, round(len(list_intersect(c, g)) / len(list_distinct(list_concat(c, g))), 6) AS overlap, CAST(len(g) - len(list_intersect(c, g)) AS INTEGER) AS extra FROM c JOIN g USING (id)""",
 }
