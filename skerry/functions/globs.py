@@ -44,3 +44,28 @@ def mapped_dir(glob: Column) -> Column:
     cut = F.when(exact(glob), F.regexp_replace(glob, r"/?[^/]*$", "")).otherwise(F.regexp_replace(literal_head(glob), "/$", ""))
     clean = F.regexp_replace(cut, "^/+|/+$", "")
     return F.when(clean != "", clean)
+
+
+def ignore_regex(lines: str) -> str:
+    """One Java pattern for the paths that a listing of ignore lines takes; a listing without patterns takes none.
+
+    A hash begins a comment. A line that ends in a slash takes a directory of that name, or pattern, and all below it; any other is a pattern for
+    the whole path. ``*`` and ``?`` cross slashes, ``[...]`` is a set, ``[!...]`` its complement."""
+    out = []
+    for line in lines.splitlines():
+        line = line.split("#", 1)[0].strip()
+        if not line:
+            continue
+        rx, i = "", 0
+        while i < len(line):
+            c = line[i]
+            close = line.find("]", i + 2) if c == "[" else -1
+            if close > 0:
+                body = line[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+                rx += "[" + ("^" + body[1:] if body[0] == "!" else "\\" + body if body[0] == "^" else body) + "]"
+                i = close
+            else:
+                rx += {"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or c in "/_ " or ord(c) > 127 else "\\" + c)
+            i += 1
+        out.append(rx + (".*" if line.endswith("/") else ""))
+    return "^(?s:" + "|".join(out) + ")$" if out else "(?!)"

@@ -6,7 +6,7 @@ import pytest
 
 from tests.oracle import compare
 
-PLANS = ["hierarchy", "search", "memory", "graph", "mapping", "corpus", "mutation", "reports", "stream", "recall", "review"]
+PLANS = ["hierarchy", "search", "memory", "graph", "mapping", "corpus", "mutation", "reports", "stream", "recall", "review", "details"]
 MODULES = [importlib.import_module(f"skerry.plans.{p}") for p in PLANS]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.ORACLE.items()}
