@@ -8,9 +8,11 @@ space, and its runs of white space; counts of short ones are remembered per work
 from __future__ import annotations
 
 import base64
+import os
 import re
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +81,17 @@ def counter(vocabulary: str) -> Counter:
 
 
 def with_token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
-    """df without its text column and with its exact count of tokens; a null text has none."""
+    """df without its text column and with its exact count of tokens; a null text has none.
+
+    Only the driver needs the vocabulary file: Spark hands it out to the executors."""
     rest = [c for c in df.columns if c != text]
     schema = df.select(*rest, F.lit(0).cast("int").alias(out)).schema
 
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def run(batches):
-        c = counter(vocabulary)
+        c = counter(SparkFiles.get(name))
         for b in batches:
             i = b.schema.get_field_index(text)
             n = [c.count(x) if x else 0 for x in b.column(i).to_pylist()]
