@@ -64,8 +64,9 @@ def unit_scores(spark, d):
 
 
 def perspective_refused(spark, d):
-    """Memories whose subject is another one than who they say is observed."""
-    m = _all(spark, d).select("id", "subject_entity_id", F.coalesce("observed_entity_id", "subject_entity_id", "observer_entity_id").alias("observed_entity_id"))
+    """Memories whose subject is another one than who they say is observed; one in eight says so here."""
+    seen = F.when(F.col("id") % 8 == 0, F.col("subject_entity_id") + 1).otherwise(F.col("observed_entity_id"))
+    m = _all(spark, d).select("id", "subject_entity_id", F.coalesce(seen, "subject_entity_id", "observer_entity_id").alias("observed_entity_id"))
     return m.where("subject_entity_id <> observed_entity_id")
 
 
@@ -195,7 +196,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY memory_id, direction ORDER BY cr
     "query_text": f"""WITH r AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(CASE WHEN doc_id % 9 = 0 THEN '--- - --' ELSE title END, '[\\p{{L}}\\p{{N}}_\\-]+(?:[./][\\p{{L}}\\p{{N}}_\\-]+)*'), lambda t: regexp_replace(t, '^-+|-+$', '', 'g')), lambda t: t <> '') AS t FROM documents WHERE title IS NOT NULL)
 SELECT doc_id, CASE WHEN len(t) = 0 THEN '{NO_WORDS}' ELSE array_to_string(t, ' ') END AS query FROM r""",
     "unit_scores": f"WITH {M} SELECT id, coalesce(least(1::DOUBLE, greatest(0::DOUBLE, try_cast(CASE id % 5 WHEN 0 THEN 'high' WHEN 1 THEN '5' WHEN 2 THEN '-1' ELSE CAST(confidence AS VARCHAR) END AS DOUBLE))), 0.5::DOUBLE) AS confidence FROM m",
-    "perspective_refused": f"WITH {M} SELECT id, subject_entity_id, coalesce(observed_entity_id, subject_entity_id, observer_entity_id) AS observed_entity_id FROM m WHERE subject_entity_id <> coalesce(observed_entity_id, subject_entity_id, observer_entity_id)",
+    "perspective_refused": f"""WITH {M}, s AS (SELECT id, subject_entity_id, coalesce(CASE WHEN id % 8 = 0 THEN subject_entity_id + 1 ELSE observed_entity_id END, subject_entity_id, observer_entity_id) AS observed_entity_id FROM m)
+SELECT * FROM s WHERE subject_entity_id <> observed_entity_id""",
     "dream_runs": f"""WITH g AS (SELECT observer_entity_id, observed_entity_id, count(*) AS inputs, (coalesce(observer_entity_id, 0) + coalesce(observed_entity_id, 0)) % 4 AS k FROM ({_MEMORY['dream_inputs']}) GROUP BY 1, 2)
 SELECT observer_entity_id, observed_entity_id, inputs, CASE WHEN k < 2 THEN 'running' WHEN k = 2 THEN 'succeeded' ELSE 'failed' END AS before, CASE WHEN k = 1 THEN 'running' WHEN k = 2 THEN 'succeeded' ELSE 'failed' END AS after, k IN (0, 3) AS starts FROM g""",
     "apply_supersede": f"""WITH {M} SELECT w.id AS winner_id, w.supersedes_id AS loser_id, CASE WHEN l.id IS NULL THEN 'no such memory' WHEN l.id = w.id THEN 'itself' WHEN w.id NOT IN (SELECT id FROM act) OR l.id NOT IN (SELECT id FROM act) THEN 'not active or not visible'
