@@ -19,8 +19,10 @@ name is known.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -239,11 +241,13 @@ def candidates_of(text: str, given: frozenset, finder=None):
     found = []
     for lo, hi in _windows(text, sorted(spots), finder is None or len(low) != len(text)):
         found += _names(text, given, lo, hi)
+    houses.sort()
+    streets = _Spans([(a, b) for a, b, *_ in houses])
     for s, e, surname, sure in found:
-        over = [(known, anchor) for a, b, anchor, known in houses if a < e and s < b]
+        over = [(known, anchor) for _, _, anchor, known in (houses[i] for i in streets.over(s, e))]
         if not any(known for known, _ in over):  # beside an unsure house number the better reading comes out
             out.append(("name", over[0][1] if over else 2 * s, s, e, surname, "name" if sure else None, False))
-    used = [(s, e) for s, e, *_ in found] + [(a, b) for a, b, *_ in houses]
+    used = _Spans([(s, e) for s, e, *_ in found] + [(a, b) for a, b, *_ in houses])
     edge = -1
     for at in starts:  # capitalised words that no list knows
         if at < edge:
@@ -255,15 +259,33 @@ def candidates_of(text: str, given: frozenset, finder=None):
             words = [(m.start() + at, m.end() + at) for m in re.finditer(r"[^\s.]{2,}|[^\s.](?=\.? )", run[0])]
             words = [w for w in words if w[1] - w[0] > 1]
             for (a, b), (c, d) in zip(words, words[1:]):
-                if b - a > 2 and d - c > 2 and not _within(used, a, d) and text[a:b].lower() not in TITLES and not text[a:b].isupper():
+                if b - a > 2 and d - c > 2 and not used.meet(a, d) and text[a:b].lower() not in TITLES and not text[a:b].isupper():
                     out.append(("name", 2 * at, a, d, fold(text[c:d]), None, True))
-        elif swapped and not _within(used, at, swapped.end()) and len(swapped[1]) > 2 and not text[swapped.end() - 2 : swapped.end()].isupper():
+        elif swapped and not used.meet(at, swapped.end()) and len(swapped[1]) > 2 and not text[swapped.end() - 2 : swapped.end()].isupper():
             out.append(("name", 2 * at, at, swapped.end(), fold(swapped[1]), None, True))
     return out
 
 
-def _within(spans, s: int, e: int) -> bool:
-    return any(a < e and s < b for a, b in spans)
+class _Spans:
+    """Stretches of a text; whether one meets another is found in logarithmic time."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts, self.own = [a for a, _ in spans], [b for _, b in spans]
+        self.ends = list(itertools.accumulate((b for _, b in spans), max))  # the farthest end so far
+
+    def over(self, s: int, e: int) -> list[int]:
+        """Which ones meet it, in order; ends are farther the later a span begins, or nearly so."""
+        k, out = bisect_left(self.starts, e), []
+        while k and self.ends[k - 1] > s:
+            k -= 1
+            if self.own[k] > s:
+                out.append(k)
+        return out[::-1]
+
+    def meet(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
 
 
 def _blot(text: str, spans) -> str:
@@ -276,13 +298,13 @@ def _blot(text: str, spans) -> str:
 
 
 def _windows(text: str, spots: list[int], whole: bool):
-    """Stretches of text around the spots, cut at blanks, joined where they meet."""
+    """Stretches of text around the spots, cut at blanks (where there is one within 400 characters), joined where they meet."""
     if whole:
         return [(0, len(text))]
     out: list[list[int]] = []
     for at in spots:
-        lo, hi = text.rfind(" ", 0, max(0, at - 50)) + 1, text.find(" ", min(len(text), at + 90))
-        hi = len(text) if hi < 0 else hi
+        lo, hi = text.rfind(" ", max(0, at - 450), max(0, at - 50)) + 1, text.find(" ", at + 90, at + 490)
+        lo, hi = lo or max(0, at - 450), min(len(text), at + 490) if hi < 0 else hi
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:

@@ -92,6 +92,19 @@ def test_windows_read_as_the_whole_text():
     assert P.candidates_of(text, given, finder) == P.candidates_of(text, given, None)
 
 
+def test_long_texts_cost_no_more_than_their_length():
+    import time
+
+    finder = P._finder(frozenset(["josephine"]))
+    sizes = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        for text in ("A.B." * n, "Josephine Brenukishen 5 Baker Terrace, " * n, "a@b at c dot d " * n, "1-2 " * n, "Kwame Osei " * n):
+            P.candidates_of(text, frozenset(["josephine"]), finder)
+        sizes.append(time.process_time() - began)
+    assert sizes[1] < 10 * sizes[0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "table_name string, row_id long, text string")
     assert P.find(df, spark.createDataFrame([], "name string")).count() == 0
