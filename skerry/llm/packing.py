@@ -6,8 +6,8 @@ against packing all at once. Within a shard the largest remaining document is ta
 undominated fillings, of any number of documents, are tried, fullest first; a branch ends where its waste exceeds
 what the best packing so far leaves room for. Reachable sums are kept as bit sets, one for every number of the
 smallest documents, so enumerating fillings never runs into a dead end. Best-fit decreasing gives the first incumbent, and a
-shard whose incumbent meets the lower bound is not searched at all. The search stops after ``steps`` fillings
-and then keeps the incumbent: always a complete packing. ``fill_report`` says how often it won and what the bound leaves.
+shard whose incumbent meets the lower bound is not searched at all. The search stops after ``steps`` fillings, or
+``LOOKS_A_STEP`` times as many sizes looked at, and then keeps the incumbent: always a complete packing. ``fill_report`` says how often it won and what the bound leaves.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from skerry.sources.durable import durable
 WINDOWS_A_SHARD = 256
 ITEMS_A_SHARD = 4096
 SEARCH_STEPS = 300
+#: Sizes looked at for each of these steps, on average, before the search stops all the same.
+LOOKS_A_STEP = 1000
 MOST_WINDOW_KINDS = 100
 
 
@@ -75,11 +77,13 @@ class Sums:
         del self.reach[at + 1 :]
 
 
-def fillings(left: list[int], room: int, least: int, sums: Sums | None = None):
+def fillings(left: list[int], room: int, least: int, sums: Sums | None = None, looks: list[int] | None = None):
     """Undominated fillings of room from the ascending sizes left that hold at least ``least``, fullest first, lazily.
 
     Of equal totals those with larger items come first. A filling is dominated, and left out, if another size fits that
-    could be added, or put for a smaller one of its own: whatever packs the rest then packs it after the exchange too."""
+    could be added, or put for a smaller one of its own: whatever packs the rest then packs it after the exchange too.
+    A size that is left out rules out at once all that it could be put for, so many alike sizes are not tried in every
+    combination. looks, if given, holds how many sizes may still be looked at; with none the fillings end early."""
     n = bisect_right(left, room)
     if not n:
         if least <= 0:
@@ -94,43 +98,30 @@ def fillings(left: list[int], room: int, least: int, sums: Sums | None = None):
             return
         have ^= 1 << total
         free = room - total
-        if free >= left[0] and total < sum(left[:n]):
-            rest = True  # something may still fit beside it: only a filling without the smallest size is undominated
-        else:
-            rest = False
-        stack = [(n, total, ())]
+        stack = [(n, total, (), room + 1)]
         while stack:
-            k, t, taken = stack.pop()
+            if looks is not None:
+                if not looks[0]:
+                    return
+                looks[0] -= 1
+            k, t, taken, out = stack.pop()  # out: the least size left out so far
             if not t:
-                f = taken
-                if not free or not _dominated(left, n, f, free, rest):
-                    yield f
+                if (left[0] if k else out) > free:
+                    yield taken
                     reach = sums.upto(left)  # left has been used and put back meanwhile
                 continue
-            k = min(k, bisect_right(left, t))
-            while k and not reach[k - 1] >> t & 1 and not (t >= left[k - 1] and reach[k - 1] >> (t - left[k - 1]) & 1):
-                k -= 1
+            fit = min(bisect_right(left, t, 0, k), bisect_left(left, out - free, 0, k))
+            while fit < k:  # all from there on are left out, and with them what they could be put for
+                k, out = fit, left[fit]
+                fit = bisect_left(left, out - free, 0, k)
+            if not reach[k] >> t & 1:
+                continue
             s = left[k - 1]
             lower = bisect_left(left, s, 0, k)  # the next smaller size: leaving one copy out leaves out all
-            if reach[lower] >> t & 1:
-                stack.append((lower, t, taken))
-            if t >= s and reach[k - 1] >> (t - s) & 1:
-                stack.append((k - 1, t - s, (*taken, s)))
-
-
-def _dominated(left: list[int], n: int, f: tuple, free: int, rest: bool) -> bool:
-    """Whether an unused size could be added to the filling f, or put for a smaller one, within the free room."""
-    used: dict[int, int] = {}
-    for s in f:
-        used[s] = used.get(s, 0) + 1
-    spare = lambda s: bisect_right(left, s, 0, n) - bisect_left(left, s, 0, n) > used.get(s, 0)
-    for base in {*f, 0} if rest else set(f):
-        at = bisect_right(left, base + free, 0, n) - 1
-        while at >= 0 and left[at] > base:
-            if spare(left[at]):
-                return True
-            at = bisect_left(left, left[at], 0, n) - 1
-    return False
+            if s > free and reach[lower] >> t & 1:
+                stack.append((lower, t, taken, s))
+            if reach[k - 1] >> (t - s) & 1:
+                stack.append((k - 1, t - s, (*taken, s), out))
 
 
 def complete(sizes: list[int], cap: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
@@ -152,7 +143,7 @@ def complete(sizes: list[int], cap: int, steps: int = SEARCH_STEPS) -> list[list
 def _search(falling: list[int], cap: int, need: int, most: int, steps: int):
     """Depth first over fillings, without recursion; the first packing in ``need`` windows, else the best found."""
     total, best, target = sum(falling), None, most - 1
-    left, sums = falling[::-1], Sums(cap)
+    left, sums, looks = falling[::-1], Sums(cap), [steps * LOOKS_A_STEP]
     stack: list[tuple] = []  # the largest item, its untried fillings, the waste before it
     packed: list[tuple[int, ...]] = []
 
@@ -169,7 +160,7 @@ def _search(falling: list[int], cap: int, need: int, most: int, steps: int):
             sums.changed(at)
 
     down = True
-    while steps:
+    while steps and looks[0]:
         if down:
             if not left:
                 best, target = [list(b) for b in packed], len(packed) - 1
@@ -180,7 +171,7 @@ def _search(falling: list[int], cap: int, need: int, most: int, steps: int):
             big = left.pop()
             sums.changed(len(left))
             before = stack[-1][3] if stack else 0
-            stack.append([big, fillings(left, cap - big, cap - big - (target * cap - total - before), sums), before, 0])
+            stack.append([big, fillings(left, cap - big, cap - big - (target * cap - total - before), sums, looks), before, 0])
         elif len(packed) == len(stack):  # put the last choice back
             put_back(packed.pop()[1:])
         down = False

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's public split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_GAPS = re.compile(r"(\s*[^\S ]\s*|\s{2,})")
+_GAPS = re.compile(r"([^\S ]\s*| \s+)")
 #: Characters that Python takes for white space and the public pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _REMEMBER, _SHORT = 200_000, 32

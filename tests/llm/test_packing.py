@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from skerry.llm import packing
 from skerry.llm.packing import best_fit, complete, fill_report, fillings, lower_bound, pack
 
 
@@ -104,3 +105,20 @@ def test_documents(spark):
         assert r.bound <= r.windows <= r.bound + 1 and r.won <= r.searched <= r.shards == 1
     assert fill_report(df.limit(0), windows).count() == 0
     assert pack(df.limit(0), windows).count() == 0
+
+
+def test_alike_sizes_are_not_tried_in_every_combination():
+    left = [290, 291, 292, 292, 296, *(297,) * 3, 298, 298, 301, 301, 302, *(304,) * 3, 305, 305, 306, *(307,) * 5, 308, 308, *(310,) * 3, 311, 312, *(313,) * 3, 315, 315, *(316,) * 3]
+    looks = [2000]
+    got = list(fillings(left, 3778, 3709, looks=looks))  # twelve of 39 sizes: all but one of billions of fillings are dominated
+    assert got == [tuple(left[:-13:-1])] and looks[0] > 0
+
+
+def test_search_without_looks_left_still_packs_everything(monkeypatch):
+    monkeypatch.setattr(packing, "LOOKS_A_STEP", 1)
+    rnd = random.Random(4)
+    for looks in (1, 7, 60):
+        sizes = full_windows(rnd, 9, 97, 5)
+        got = complete(sizes, 97, looks)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 97 for b in got)
+        assert len(got) <= len(best_fit(sizes, 97))
